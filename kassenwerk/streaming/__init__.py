@@ -1,0 +1,2 @@
+"""Nothing here on purpose: every report is a bounded batch query over a half-open
+time window, so there is no watermark, trigger or state to keep."""
