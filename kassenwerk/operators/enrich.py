@@ -1,8 +1,11 @@
 """Sides joined to a transaction, each reduced to one row per transaction first.
 
-Every side is restricted to the report's transactions (``tx`` needs an ``id`` column)
-before it is aggregated, so history outside the report is dropped ahead of the shuffle
-whenever the id list is small enough for a broadcast, and ahead of the sort otherwise.
+Every side is restricted to the report's transactions (``tx`` needs an ``id`` column) by a
+semi-join. Where the aggregate is on the transaction id itself the semi-join is written
+above it: Catalyst moves it down to the scan if the id list fits a broadcast, and otherwise
+both share one shuffle that carries partial results only, however many rows one
+transaction has. Bank rows are restricted first instead, because the join on the bank
+transaction has to move them a second time.
 """
 
 from __future__ import annotations
@@ -41,18 +44,26 @@ def tips(tables: Tables, tx: DataFrame, spaces: Sequence[int] | None = None) ->
         bridge = bridge.filter(one_of(F.col("spaceid"), spaces))
         items = items.filter(one_of(F.col("spaceid"), spaces))
     items = items.select(F.col("id").alias("lineitems_id"), "spaceid", "amountincludingtax")
-    return (
-        of_report(bridge, tx)
-        .join(items, ["lineitems_id", "spaceid"])
+    summed = (
+        bridge.join(items, ["lineitems_id", "spaceid"])
         .groupBy("transaction_id")
         .agg(total(F.col("amountincludingtax")).alias("tip_amount"))
     )
+    return of_report(summed, tx)
+
+
+def record_counts(tables: Tables, tx: DataFrame) -> DataFrame:
+    """Settlement records per transaction that has any."""
+    counted = tables.payfacsettlementrecord.groupBy("transaction_id").agg(
+        F.count("*").alias("records")
+    )
+    return of_report(counted, tx)
 
 
 def has_record(tables: Tables, tx: DataFrame) -> DataFrame:
     """Transactions with at least one settlement record, each once."""
-    records = tables.payfacsettlementrecord.select("transaction_id")
-    return of_report(records, tx).distinct().withColumn("has_record", F.lit(True))
+    known = tables.payfacsettlementrecord.select("transaction_id").distinct()
+    return of_report(known, tx).withColumn("has_record", F.lit(True))
 
 
 def bank_rows(tables: Tables, tx: DataFrame) -> DataFrame:
@@ -164,14 +175,23 @@ def payout_references(
         scope=["accountid"],
         at="valuedate",
         event_at="createdon",
-        payload="internalreference",
         within_days=within_days,
     )
-    return (
+    # Timestamps only up to here, so that the aggregate over all bank rows can hash.
+    earliest = (
         settled.join(following, ["accountid", "valuedate"])
-        .groupBy("transaction_id")
-        .agg(F.min("event").alias("event"))
-        .select("transaction_id", F.col("event.internalreference").alias("settlement_reference"))
+        .groupBy("transaction_id", "accountid")
+        .agg(F.min("createdon").alias("createdon"))
+    )
+    return earliest.join(
+        references_by_time(withdrawals, ["accountid"]), ["accountid", "createdon"]
+    ).select("transaction_id", "settlement_reference")
+
+
+def references_by_time(withdrawals: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """One reference per moment: of simultaneous withdrawals the smallest reference."""
+    return withdrawals.groupBy(*scope, "createdon").agg(
+        F.min("internalreference").alias("settlement_reference")
     )
 
 

@@ -26,10 +26,6 @@ def _on_line(df: DataFrame) -> DataFrame:
     return df.withColumn("_day", F.to_date("_ts")).withColumn("_hour", F.hour("_ts"))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys), "left")
-
-
 def next_event(
     probes: DataFrame,
     events: DataFrame,
@@ -37,27 +33,24 @@ def next_event(
     scope: Sequence[str],
     at: str,
     event_at: str,
-    payload: str,
     within_days: int | None = None,
 ) -> DataFrame:
-    """First event at or after each probe time of the same scope.
+    """Time of the first event at or after each probe time of the same scope.
 
     Returns one row per distinct probe that has an answer: the scope columns, ``at`` and
-    ``event`` = struct(event time, payload). Of several events at the same moment the one
-    with the smallest payload is taken. With ``within_days`` an event counts only if it
-    lies before ``at`` plus that many days.
+    ``event_at``. With ``within_days`` an event counts only if it lies before ``at`` plus
+    that many days.
     """
     scope = list(scope)
-    event = F.struct(F.col(event_at), F.col(payload))
     asked = probes.select(*scope, F.col(at).alias("_ts")).distinct().withColumn("_probe", F.lit(1))
-    line = _on_line(
-        events.select(*scope, F.col(event_at).alias("_ts"), F.lit(0).alias("_probe"), event.alias("_event"))
-        .unionByName(asked, allowMissingColumns=True)
+    happened = events.select(*scope, F.col(event_at).alias("_ts")).distinct().select(
+        *scope, "_ts", F.lit(0).alias("_probe"), F.col("_ts").alias("_event")
     )
-    # Backwards in time; at the same moment the events come before the probes they answer.
+    line = _on_line(happened.unionByName(asked, allowMissingColumns=True))
+    # Backwards in time; at the same moment the event comes before the probe it answers.
     back = (
         Window.partitionBy(*scope, *_HOUR)
-        .orderBy(F.desc("_ts"), F.asc("_probe"), F.desc("_event"))
+        .orderBy(F.desc("_ts"), F.asc("_probe"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     later_hours = (
@@ -71,15 +64,15 @@ def next_event(
         .withColumn("_later", F.last("_first", ignorenulls=True).over(later_hours))
         .drop("_first")
     )
-    found = _same(
-        line.withColumn("_here", F.last("_event", ignorenulls=True).over(back)).filter("_probe = 1"),
-        hours,
-        [*scope, *_HOUR],
-    ).select(*scope, F.col("_ts").alias(at), F.coalesce("_here", "_later").alias("event"))
-    found = found.filter(F.col("event").isNotNull())
-    if within_days is not None:
-        found = found.filter(F.col("event")[event_at] < F.col(at) + days(within_days))
-    return found
+    found = line.withColumn("_here", F.last("_event", ignorenulls=True).over(back)).filter(
+        "_probe = 1"
+    )
+    answered = found.join(hours, [*scope, *_HOUR], "left").select(
+        *scope, F.col("_ts").alias(at), F.coalesce("_here", "_later").alias(event_at)
+    )
+    if within_days is None:
+        return answered.filter(F.col(event_at).isNotNull())
+    return answered.filter(F.col(event_at) < F.col(at) + days(within_days))
 
 
 def events_before(
@@ -116,11 +109,8 @@ def events_before(
         .withColumn("_earlier", F.coalesce(F.sum("_n_hour").over(earlier_hours), zero))
         .drop("_n_hour")
     )
-    return _same(
-        line.withColumn("_here", F.sum("_n").over(running)).filter("_event = 0"),
-        hours,
-        [*scope, *_HOUR],
-    ).select(
+    placed = line.withColumn("_here", F.sum("_n").over(running)).filter("_event = 0")
+    return placed.join(hours, [*scope, *_HOUR], "left").select(
         *scope,
         F.col("_ts").alias(at),
         (F.col("_here") + F.coalesce("_earlier", zero)).alias("events_before"),

@@ -132,10 +132,8 @@ def records_per_transaction(
     """How many transactions have one, two, ... settlement records."""
     tx = report_transactions(tables, spaces, start, end)
     return (
-        enrich.of_report(tables.payfacsettlementrecord.select("transaction_id"), tx)
-        .groupBy("transaction_id")
-        .agg(F.count("*").alias("records_pro_transaktion"))
-        .groupBy("records_pro_transaktion")
+        enrich.record_counts(tables, tx)
+        .groupBy(F.col("records").alias("records_pro_transaktion"))
         .agg(F.count("*").alias("anzahl_transaktionen"))
         .orderBy("records_pro_transaktion")
     )
@@ -206,8 +204,8 @@ def settlement_record_count(
     tables: Tables, spaces: Sequence[int], start: Moment, end: Moment
 ) -> DataFrame:
     tx = report_transactions(tables, spaces, start, end)
-    return enrich.of_report(tables.payfacsettlementrecord, tx).agg(
-        F.count("*").alias("settle_records")
+    return enrich.record_counts(tables, tx).agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("settle_records")
     )
 
 
@@ -239,16 +237,16 @@ def tip_inclusion_check(
 ) -> DataFrame:
     """Does the gross amount contain the tip? Gross minus all line items, tipped sales only.
 
-    The line items are summed per transaction before they meet it.
+    The line items are summed per transaction before they meet it, so a transaction with
+    very many of them arrives as one row.
     """
     tx = report_transactions(tables, spaces, start, end).select("id", "spaceid", "completedamount")
     li = tables.lineitem.select(
         F.col("id").alias("lineitems_id"), "spaceid", "type", "amountincludingtax"
     )
-    bridge = enrich.of_report(tables.transaction_lineitem, tx)
     amount = F.col("amountincludingtax")
     sums = (
-        bridge.join(li, ["lineitems_id", "spaceid"])
+        tables.transaction_lineitem.join(li, ["lineitems_id", "spaceid"])
         .groupBy(F.col("transaction_id").alias("id"), "spaceid")
         .agg(
             total(F.when(F.col("type") == "TIP", amount).otherwise(0)).alias("tip"),

@@ -284,12 +284,11 @@ def settlement_reference_sample(
         scope=[],
         at="auszahlungsdatum",
         event_at="createdon",
-        payload="internalreference",
     )
-    settle = settled.join(following, "auszahlungsdatum", "left").select(
-        F.col("transaction_id").alias("id"),
-        "auszahlungsdatum",
-        F.col("event.internalreference").alias("settlement_reference"),
+    settle = (
+        settled.join(following, "auszahlungsdatum", "left")
+        .join(enrich.references_by_time(tables.currentaccountwithdrawal, []), "createdon", "left")
+        .select(F.col("transaction_id").alias("id"), "auszahlungsdatum", "settlement_reference")
     )
     card = enrich.cards(tables, tx, spaces).withColumnRenamed("transaction_id", "id")
     rows = tx.join(card, "id", "left").join(settle, "id", "left")

@@ -2,8 +2,8 @@
 
 ``rows`` are those of ``settlement_transactions`` (or the CSV source). ``scope`` names
 leading columns, such as ``account_id``, to report on many accounts in one job; every
-result then carries these columns. Amounts of several currencies are never added: within
-a scope a second currency fails the report when it runs.
+result then carries these columns. Amounts of several currencies are never added: a second
+currency within a scope fails the report when it runs.
 """
 
 from __future__ import annotations
@@ -59,11 +59,6 @@ def classified(rows: DataFrame, end: str | None, scope: Scope = ()) -> DataFrame
     )
 
 
-def _currencies() -> Column:
-    # A set of currency codes: its size does not grow with the rows.
-    return F.collect_set("waehrung").alias("waehrungen")
-
-
 def _one_currency(summed: DataFrame, scope: Scope) -> DataFrame:
     """Fail at run time if a scope holds more than one currency, naming them.
 
@@ -96,19 +91,20 @@ def _measures() -> list[Column]:
 
 
 def cube(marked: DataFrame, scope: Scope = ()) -> DataFrame:
-    """Classified rows summed per status, value date and payment method.
+    """Classified rows summed per status, value date, payment method and currency.
 
     All figures of the report follow from this table, whose size is dates times payment
-    methods, so a report with several outputs reads its transactions once.
+    methods, so a report with several outputs reads its transactions once. The currency is
+    a key rather than a collected set, which keeps the aggregate over all rows hashing.
     """
-    return marked.groupBy(*scope, "status", "datum", "connector").agg(*_measures(), _currencies())
+    return marked.groupBy(*scope, "status", "datum", "connector", "waehrung").agg(*_measures())
 
 
 def _summed_again() -> list[Column]:
     return [
         F.sum("anzahl_tx").alias("anzahl_tx"),
         *[total(F.col(c)).alias(c) for c in ("brutto", "fees", "netto")],
-        F.array_distinct(F.flatten(F.collect_set("waehrungen"))).alias("waehrungen"),
+        F.collect_set("waehrung").alias("waehrungen"),
     ]
 
 
@@ -235,14 +231,15 @@ def settlement_report(
 ) -> SettlementReport:
     """All parts of the report from one pass over ``rows``.
 
-    The rows (with detail) and their sums are written to the shared folder once; every
-    part reads from there.
+    The rows (with detail), their sums and the overview are written to the shared folder
+    once and every part reads from there, so a second currency is refused right here.
     """
     marked = classified(rows, end, scope)
     if with_detail:
         marked = numbered_rows(marked, scope)
     sums = written(cube(marked, scope), "settlement-sums")
-    days, methods = overview(sums, scope), connectors(sums, scope)
+    days = written(overview(sums, scope), "settlement-days").orderBy(*scope, "nr")
+    methods = connectors(sums, scope)
     return SettlementReport(
         overview=days,
         kpis=kpis(days, scope),
