@@ -205,6 +205,9 @@ def queries() -> dict[str, Query]:
         "merged_outlets": _on_tables(
             lambda t: terminal.merged_outlets(_terminal_rows(t), _saved_outlets(t))
         ),
+        "merged_brand_groups": _on_tables(
+            lambda t: terminal.merged_brand_groups(_terminal_rows(t), _saved_brand_groups(t))
+        ),
         "terminal_export_blocks": _on_tables(
             lambda t: _as_lines(
                 blocks.terminal_export_blocks(terminal.terminal_group_report(_terminal_rows(t))),

@@ -353,6 +353,9 @@ FROM branded b LEFT JOIN card c ON c.transaction_id = b.id LEFT JOIN (
     "merged_outlets": with_tables(
         f"SELECT DISTINCT terminal_identifier, {SAVED_OUTLET} AS outlet FROM terminal_rows",
         **SIDES, terminal_rows=TERMINAL_ROWS),
+    "merged_brand_groups": with_tables(
+        f"SELECT DISTINCT brand, {SAVED_GROUP} AS brand_group FROM terminal_rows",
+        **SIDES, terminal_rows=TERMINAL_ROWS),
     "terminal_export_blocks": with_tables(TERMINAL_BLOCKS, **GROUPS),
     "terminal_report_lines": with_tables(TERMINAL_LINES, **GROUPS, terminal_blocks=TERMINAL_BLOCKS),
     "settlement_overview": with_tables(

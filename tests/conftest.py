@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.sql.session.timeZone", "Europe/Zurich")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         # A handful of rows: compiling each stage would take longer than running it.
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
