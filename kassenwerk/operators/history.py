@@ -72,10 +72,16 @@ def run_log_rows(submissions: DataFrame) -> DataFrame:
 def newest_runs(log: DataFrame, limit: int = HISTORY_MAX) -> DataFrame:
     """The most recent runs, newest first, each token once with its latest entry.
 
-    ``seq`` is the order of insertion. A token logged again moves to the front.
+    ``seq`` is the order of insertion. A token logged again moves to the front. Only the
+    token and its latest ``seq`` are aggregated; the at most ``limit`` winners then pick
+    their full entries from the log.
     """
-    latest = log.groupBy("token").agg(F.max_by(F.struct(*log.columns), "seq").alias("row"))
-    return latest.select("row.*").orderBy(F.desc("seq")).limit(limit)
+    winners = (
+        log.groupBy("token").agg(F.max("seq").alias("seq")).orderBy(F.desc("seq")).limit(limit)
+    )
+    return log.join(F.broadcast(winners), ["token", "seq"]).select(*log.columns).orderBy(
+        F.desc("seq")
+    )
 
 
 def runs_of_mode(log: DataFrame, mode: str) -> DataFrame:

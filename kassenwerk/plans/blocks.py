@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kassenwerk.functions.dates import report_end_day, swiss_date
-from kassenwerk.functions.money import plain_amount
+from kassenwerk.functions.money import plain_amount, swiss_amount, swiss_integer
 from kassenwerk.plans import settlement_model as settle
 from kassenwerk.plans import terminal_model as terminal
+from kassenwerk.schema import TOTAL
 
 # Block names, headers and cell types of the exports.
 TEXT, NUMBER, AMOUNT = "text", "zahl", "betrag"
@@ -279,3 +280,24 @@ def cell_types(blocks: DataFrame) -> DataFrame:
         "block_no", "block", "row_no", "column_no",
         F.col("cell.cells").alias("cell"), F.col("cell.types").alias("cell_type"),
     )
+
+
+def display_cells(blocks: DataFrame) -> DataFrame:
+    """Cells as they are shown to people: amounts and counts in Swiss notation, right-aligned."""
+
+    def shown(pair: Column) -> Column:
+        cell, kind = pair["cells"], pair["types"]
+        return (
+            F.when(kind == AMOUNT, swiss_amount(cell.try_cast(TOTAL)))
+            .when(kind == NUMBER, swiss_integer(cell.try_cast("bigint")))
+            .otherwise(cell)
+        )
+
+    return blocks.withColumns(
+        {
+            "cells": F.transform(F.arrays_zip("cells", "types"), shown),
+            "alignment": F.transform(
+                "types", lambda kind: F.when(kind == TEXT, "left").otherwise("right")
+            ),
+        }
+    )

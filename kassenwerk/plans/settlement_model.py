@@ -62,10 +62,11 @@ def classified(rows: DataFrame, end: str | None, scope: Scope = ()) -> DataFrame
 def _one_currency(summed: DataFrame, scope: Scope) -> DataFrame:
     """Fail at run time if a scope holds more than one currency, naming them.
 
-    ``summed`` is already aggregated (days or connectors), so the window stays small.
+    ``summed`` is already aggregated (days or connectors), so the window stays small, and
+    collecting distinct currency lists keeps what each row carries small as well.
     """
     everything = F.sort_array(
-        F.array_distinct(F.flatten(F.collect_list("waehrungen").over(Window.partitionBy(*scope))))
+        F.array_distinct(F.flatten(F.collect_set("waehrungen").over(Window.partitionBy(*scope))))
     )
     refusal = F.raise_error(
         F.concat(
@@ -104,7 +105,7 @@ def _summed_again() -> list[Column]:
     return [
         F.sum("anzahl_tx").alias("anzahl_tx"),
         *[total(F.col(c)).alias(c) for c in ("brutto", "fees", "netto")],
-        F.collect_set("waehrung").alias("waehrungen"),
+        F.sort_array(F.collect_set("waehrung")).alias("waehrungen"),
     ]
 
 

@@ -36,6 +36,8 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(SHUFFLE_PARTITION_BYTES))
+        # Joins whose measured partitions are small hash them instead of sorting both sides.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(64 * MIB))
     )
     if master is not None:
         builder = builder.master(master)

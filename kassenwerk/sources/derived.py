@@ -8,6 +8,9 @@ transactions. ``oracle/derived.py`` states the same tables in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +44,8 @@ def _line_id() -> Column:
         F.col("l_linenumber"),
         F.col("l_partkey"),
         F.col("l_suppkey"),
-        F.date_format("l_shipdate", "yyyyMMdd"),
-        F.col("l_extendedprice").cast("decimal(18,2)"),
+        F.unix_date(F.to_date("l_shipdate")),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint"),
     )
 
 
@@ -107,14 +110,14 @@ def _chargeattempt(orders: DataFrame) -> DataFrame:
     )
 
 
-def _banktransaction(records: DataFrame) -> DataFrame:
+def _banktransaction(lines: DataFrame) -> DataFrame:
     settled = F.col("l_linestatus") == "F"
     posting = money(F.col("l_extendedprice"))
     value_date = F.when(
         settled | (F.col("l_returnflag") != "N"),
         F.col("l_shipdate") + _hours(F.col("l_linenumber") * 2),
     )
-    return records.select(
+    return _settled_lines(lines).select(
         _line_id().alias("id"),
         F.when(settled, "SETTLED").otherwise("UPCOMING").alias("state"),
         value_date.alias("valuedate"),
@@ -141,72 +144,115 @@ def _withdrawals(orders: DataFrame) -> DataFrame:
     )
 
 
-def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    # Every fourth order has not been settled at all.
-    records = lines.filter(F.col("l_orderkey") % 4 != 0)
-    is_tip = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
+def _settled_lines(lines: DataFrame) -> DataFrame:
+    """Every fourth order has not been settled at all."""
+    return lines.filter(F.col("l_orderkey") % 4 != 0)
+
+
+def _configurations(nation: DataFrame) -> DataFrame:
     connector = (F.col("id") + F.col("spaceid")) % CONNECTORS
-    space = F.col("n_nationkey").cast(LONG)
-    return Tables(
-        transaction=_transaction(orders),
-        spacereference=nation.select(
-            space.alias("spaceid"), F.col("n_regionkey").cast(LONG).alias("accountid")
-        ),
-        paymentconnectorconfiguration=nation.select(
-            space.alias("spaceid"),
-            F.explode(F.sequence(F.lit(0).cast(LONG), F.lit(CONNECTORS - 1).cast(LONG))).alias("id"),
-        ).select(
-            "id",
-            "spaceid",
-            connector.alias("connector"),
-            F.when(
-                connector % 10 != 0, F.concat_ws(" ", F.lit("Config"), "id", "spaceid")
-            ).alias("name"),
-        ),
-        paymentconnector=nation.select(
-            space.alias("id"),
-            F.when(
-                space % 5 != 0,
-                F.create_map(
-                    F.lit("en-US"),
-                    F.when(space == 7, F.lit("Lunch Check")).otherwise(
-                        F.concat(F.lit("Brand#"), space + 1)
-                    ),
-                ),
-            )
-            .otherwise(F.create_map(F.lit("de-DE"), F.concat(F.lit("Marke "), space + 1)))
-            .alias("name"),
-        ),
-        paymentterminal=nation.select(
-            space.alias("spaceid"),
-            F.explode(F.sequence(F.lit(1), F.lit(TERMINALS_PER_SPACE))).alias("k"),
-        ).select(
-            (F.col("spaceid") * 10 + F.col("k")).alias("id"),
-            "spaceid",
-            F.concat(F.lit("T-"), F.col("spaceid") * 10 + F.col("k")).alias("identifier"),
-            F.concat_ws(" ", F.lit("Outlet"), F.char(F.col("spaceid") + 65), "k").alias("name"),
-        ),
-        charge=orders.select(
-            F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("transaction_id")
-        ),
-        chargeattempt=_chargeattempt(orders),
-        payfacsettlementrecord=records.select(
-            F.col("l_orderkey").alias("transaction_id"), _line_id().alias("banktransaction_id")
-        ),
-        banktransaction=_banktransaction(records),
-        currentaccountwithdrawal=_withdrawals(orders),
-        transaction_lineitem=lines.select(
-            F.col("l_orderkey").alias("transaction_id"),
-            _line_id().alias("lineitems_id"),
-            space_of(F.col("l_orderkey")).alias("spaceid"),
-        ),
-        lineitem=lines.select(
-            _line_id().alias("id"),
-            space_of(F.col("l_orderkey")).alias("spaceid"),
-            F.when(is_tip, "TIP").otherwise("PRODUCT").alias("type"),
-            money(F.col("l_extendedprice")).alias("amountincludingtax"),
+    ids = F.sequence(F.lit(0).cast(LONG), F.lit(CONNECTORS - 1).cast(LONG))
+    return nation.select(
+        F.col("n_nationkey").cast(LONG).alias("spaceid"), F.explode(ids).alias("id")
+    ).select(
+        "id",
+        "spaceid",
+        connector.alias("connector"),
+        F.when(connector % 10 != 0, F.concat_ws(" ", F.lit("Config"), "id", "spaceid")).alias(
+            "name"
         ),
     )
+
+
+def _connectors(nation: DataFrame) -> DataFrame:
+    ident = F.col("n_nationkey").cast(LONG)
+    english = F.when(ident == 7, F.lit("Lunch Check")).otherwise(
+        F.concat(F.lit("Brand#"), ident + 1)
+    )
+    german = F.concat(F.lit("Marke "), ident + 1)
+    return nation.select(
+        ident.alias("id"),
+        F.when(ident % 5 != 0, F.create_map(F.lit("en-US"), english))
+        .otherwise(F.create_map(F.lit("de-DE"), german))
+        .alias("name"),
+    )
+
+
+def _terminals(nation: DataFrame) -> DataFrame:
+    ident = F.col("spaceid") * 10 + F.col("k")
+    return nation.select(
+        F.col("n_nationkey").cast(LONG).alias("spaceid"),
+        F.explode(F.sequence(F.lit(1), F.lit(TERMINALS_PER_SPACE))).alias("k"),
+    ).select(
+        ident.alias("id"),
+        "spaceid",
+        F.concat(F.lit("T-"), ident).alias("identifier"),
+        F.concat_ws(" ", F.lit("Outlet"), F.char(F.col("spaceid") + 65), "k").alias("name"),
+    )
+
+
+def _spaces(nation: DataFrame) -> DataFrame:
+    return nation.select(
+        F.col("n_nationkey").cast(LONG).alias("spaceid"),
+        F.col("n_regionkey").cast(LONG).alias("accountid"),
+    )
+
+
+def _charge(orders: DataFrame) -> DataFrame:
+    return orders.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("transaction_id")
+    )
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    return _settled_lines(lines).select(
+        F.col("l_orderkey").alias("transaction_id"), _line_id().alias("banktransaction_id")
+    )
+
+
+def _bridge(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        F.col("l_orderkey").alias("transaction_id"),
+        _line_id().alias("lineitems_id"),
+        space_of(F.col("l_orderkey")).alias("spaceid"),
+    )
+
+
+def _items(lines: DataFrame) -> DataFrame:
+    is_tip = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
+    return lines.select(
+        _line_id().alias("id"),
+        space_of(F.col("l_orderkey")).alias("spaceid"),
+        F.when(is_tip, "TIP").otherwise("PRODUCT").alias("type"),
+        money(F.col("l_extendedprice")).alias("amountincludingtax"),
+    )
+
+
+# Table -> test table it comes from and how.
+_SOURCES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "transaction": ("orders", _transaction),
+    "paymentconnectorconfiguration": ("nation", _configurations),
+    "paymentconnector": ("nation", _connectors),
+    "paymentterminal": ("nation", _terminals),
+    "charge": ("orders", _charge),
+    "chargeattempt": ("orders", _chargeattempt),
+    "payfacsettlementrecord": ("lineitem", _records),
+    "banktransaction": ("lineitem", _banktransaction),
+    "currentaccountwithdrawal": ("orders", _withdrawals),
+    "spacereference": ("nation", _spaces),
+    "transaction_lineitem": ("lineitem", _bridge),
+    "lineitem": ("lineitem", _items),
+}
+
+
+def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    @cache
+    def read(source: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{source}.parquet")
+
+    return Tables(
+        {
+            name: lambda source=source, derive=derive: derive(read(source))
+            for name, (source, derive) in _SOURCES.items()
+        }
+    )

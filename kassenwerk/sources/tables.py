@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from kassenwerk.schema import TABLES
 
 
-@dataclass(frozen=True)
 class Tables:
+    """Payment tables by name; a table is opened when a query first asks for it."""
+
     transaction: DataFrame
     paymentconnectorconfiguration: DataFrame
     paymentconnector: DataFrame
@@ -25,33 +26,51 @@ class Tables:
     transaction_lineitem: DataFrame
     lineitem: DataFrame
 
+    def __init__(self, openers: Mapping[str, Callable[[], DataFrame]]) -> None:
+        if openers.keys() != TABLES.keys():
+            raise ValueError(f"tables must be exactly {', '.join(TABLES)}")
+        self._openers = dict(openers)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        opened = self._openers[name]()
+        setattr(self, name, opened)
+        return opened
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> Tables:
         """One parquet table per name under ``root``; the declared schema is used as is."""
         return cls(
-            **{
-                name: spark.read.schema(schema).parquet(f"{root}/{name}")
-                for name, schema in TABLES.items()
+            {
+                name: lambda name=name: spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+                for name in TABLES
             }
         )
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> Tables:
-        return cls(**{name: spark.table(f"{database}.`{name}`") for name in TABLES})
+        return cls(
+            {name: lambda name=name: spark.table(f"`{database}`.`{name}`") for name in TABLES}
+        )
 
     @classmethod
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> Tables:
         """Bundle the given frames; tables not given are empty but keep their schema."""
         return cls(
-            **{
-                f.name: frames.get(f.name, spark.createDataFrame([], TABLES[f.name]))
-                for f in fields(cls)
+            {
+                name: lambda name=name: (
+                    frames[name]
+                    if name in frames
+                    else spark.createDataFrame([], TABLES[name])
+                )
+                for name in TABLES
             }
         )
 
-    def __getitem__(self, name: str) -> DataFrame:
-        return getattr(self, name)
-
 
 def table_columns(df: DataFrame) -> DataFrame:
     """Column names and types of a table in ordinal order."""

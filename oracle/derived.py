@@ -4,7 +4,7 @@ SPACE = "CASE WHEN {key} % 10 < 3 THEN 0 ELSE {key} % 25 END"
 MONEY = "CAST(CAST({x} AS DECIMAL(18,2)) AS DECIMAL(20,8))"
 LINE_ID = (
     "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
-    " strftime(l_shipdate, '%Y%m%d'), CAST(l_extendedprice AS DECIMAL(18,2)))"
+    " date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)), CAST(round(l_extendedprice * 100) AS BIGINT))"
 )
 POSTING = MONEY.format(x="l_extendedprice")
 GROSS = MONEY.format(x="o_totalprice")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kassenwerk.operators import enrich
 from kassenwerk.plans import reports
+from kassenwerk.schema import TABLES
 from tests.conftest import at, money, plan_of
 
 START, END = "2026-05-01 00:00:00", "2026-06-01 00:00:00"
@@ -264,7 +265,7 @@ def test_settlement_state_counts_instead_of_looking_at_the_latest_date(spark):
 
 
 def on_disk(spark, shop, folder):
-    for name in shop.__dataclass_fields__:
+    for name in TABLES:
         shop[name].write.mode("overwrite").parquet(f"{folder}/{name}")
     return type(shop).from_parquet(spark, str(folder))
 
@@ -272,7 +273,7 @@ def on_disk(spark, shop, folder):
 def scanned(df, tables):
     plan = df._jdf.queryExecution().optimizedPlan().collectLeaves().mkString(" ")
     files = plan + " ".join(df.inputFiles())
-    return {name for name in tables.__dataclass_fields__ if f"/{name}/" in files}
+    return {name for name in TABLES if f"/{name}/" in files}
 
 
 @pytest.mark.parametrize(
