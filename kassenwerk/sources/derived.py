@@ -3,19 +3,16 @@
 Every table is a plain projection (plus an explode where one row yields several), so a
 query over them shuffles only for its own joins and aggregates, and filters and column
 pruning reach the parquet scans. Space 0 deliberately holds about a third of the
-transactions. ``oracle/derived.py`` states the same tables in SQL.
+transactions. ``oracle/derived.py`` states the same tables in another SQL dialect.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from kassenwerk.functions.labels import AUTH_CODE_LABEL, MASKED_CARD_LABEL
-from kassenwerk.schema import LONG, MONEY
 from kassenwerk.sources.tables import Tables
 
 SPACES = 25
@@ -24,224 +21,107 @@ CONNECTORS = 25
 TERMINALS_PER_SPACE = 3
 
 
-def money(amount: Column) -> Column:
-    """Cents held as double, read exactly."""
-    return amount.cast("decimal(18,2)").cast(MONEY)
-
-
-def space_of(order_key: Column) -> Column:
-    return F.when(order_key % 10 < 3, F.lit(0)).otherwise(order_key % SPACES).cast(LONG)
-
-
-def fee_of(amount: Column) -> Column:
-    return F.round(amount * F.lit("0.0095").cast("decimal(5,4)"), 2).cast(MONEY)
-
-
-def _line_id() -> Column:
-    return F.concat_ws(
-        "-",
-        F.col("l_orderkey"),
-        F.col("l_linenumber"),
-        F.col("l_partkey"),
-        F.col("l_suppkey"),
-        F.unix_date(F.to_date("l_shipdate")),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-    )
-
-
-def _seconds(amount: Column) -> Column:
-    zero = F.lit(0)
-    return F.make_dt_interval(zero, zero, zero, amount.cast("decimal(18,6)"))
-
-
-def _hours(amount: Column) -> Column:
-    return F.make_dt_interval(F.lit(0), amount.cast("int"))
-
-
-def _transaction(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    space = space_of(key)
-    gross = money(F.col("o_totalprice"))
-    return orders.select(
-        key.alias("id"),
-        space.alias("spaceid"),
-        (F.col("o_orderdate") - _seconds(key % 86400)).alias("createdon"),
-        F.col("o_orderdate").alias("completedon"),
-        F.when(F.col("o_orderstatus") == "F", "FULFILL")
-        .when(F.col("o_orderstatus") == "O", "COMPLETED")
-        .otherwise("PENDING")
-        .alias("state"),
-        F.when(space % ACCOUNTS == 0, "EUR").otherwise("CHF").alias("currency"),
-        gross.alias("completedamount"),
-        F.when(key % 3 == 0, F.lit(None))
-        .when(key % 7 == 0, F.lit(0).cast(MONEY))
-        .otherwise(fee_of(gross))
-        .alias("totalappliedfees"),
-        (F.col("o_custkey") % CONNECTORS).alias("paymentconnectorconfiguration_id"),
-        F.when(key % 5 == 0, F.lit(None).cast(LONG))
-        .otherwise(space * 10 + key % TERMINALS_PER_SPACE + 1)
-        .alias("terminal_id"),
-        F.concat(F.lit("M-"), key).alias("merchantreference"),
-    )
-
-
-def _chargeattempt(orders: DataFrame) -> DataFrame:
-    def label(descriptor: str, text: Column) -> Column:
-        return F.create_map(
-            F.lit("descriptor"), F.lit(descriptor), F.lit("shortTextContent"), text
-        )
-
-    attempt = orders.select(
-        "o_orderkey",
-        "o_custkey",
-        F.explode(F.sequence(F.lit(0), (F.col("o_orderkey") % 2).cast("int"))).alias("attempt"),
-    ).withColumn("id", F.col("o_orderkey") * 2 + F.col("attempt"))
-    card = F.concat(
-        F.lit("XXXX-XXXX-XXXX-"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")
-    )
-    code = F.concat(F.lit("A"), F.col("id"))
-    return attempt.select(
-        "id",
-        F.col("o_orderkey").alias("charge_id"),
-        space_of(F.col("o_orderkey")).alias("spaceid"),
-        F.when(F.col("id") % 7 == 0, F.array().cast("array<map<string,string>>"))
-        .otherwise(F.array(label(MASKED_CARD_LABEL, card), label(AUTH_CODE_LABEL, code)))
-        .alias("labels"),
-    )
-
-
-def _banktransaction(lines: DataFrame) -> DataFrame:
-    settled = F.col("l_linestatus") == "F"
-    posting = money(F.col("l_extendedprice"))
-    value_date = F.when(
-        settled | (F.col("l_returnflag") != "N"),
-        F.col("l_shipdate") + _hours(F.col("l_linenumber") * 2),
-    )
-    return _settled_lines(lines).select(
-        _line_id().alias("id"),
-        F.when(settled, "SETTLED").otherwise("UPCOMING").alias("state"),
-        value_date.alias("valuedate"),
-        posting.alias("postingamount"),
-        (posting - fee_of(posting)).cast(MONEY).alias("valueamount"),
-        F.concat(F.lit("B-"), F.col("l_suppkey")).alias("reference"),
-        F.col("l_shipdate").alias("paymentdate"),
-    )
-
-
-def _withdrawals(orders: DataFrame) -> DataFrame:
-    days = (
-        orders.select(F.col("o_orderdate").alias("day"))
-        .filter(F.unix_date(F.to_date("day")) % 2 == 0)
-        .distinct()
-        .withColumn("accountid", F.explode(F.sequence(F.lit(0), F.lit(ACCOUNTS - 1))))
-    )
-    return days.select(
-        F.concat_ws("-", F.lit("W"), F.col("accountid"), F.date_format("day", "yyyy-MM-dd")).alias(
-            "internalreference"
-        ),
-        (F.col("day") + _hours(F.col("accountid") * 3)).alias("createdon"),
-        F.col("accountid").cast(LONG).alias("accountid"),
-    )
-
-
-def _settled_lines(lines: DataFrame) -> DataFrame:
-    """Every fourth order has not been settled at all."""
-    return lines.filter(F.col("l_orderkey") % 4 != 0)
-
-
-def _configurations(nation: DataFrame) -> DataFrame:
-    connector = (F.col("id") + F.col("spaceid")) % CONNECTORS
-    ids = F.sequence(F.lit(0).cast(LONG), F.lit(CONNECTORS - 1).cast(LONG))
-    return nation.select(
-        F.col("n_nationkey").cast(LONG).alias("spaceid"), F.explode(ids).alias("id")
-    ).select(
-        "id",
-        "spaceid",
-        connector.alias("connector"),
-        F.when(connector % 10 != 0, F.concat_ws(" ", F.lit("Config"), "id", "spaceid")).alias(
-            "name"
-        ),
-    )
-
-
-def _connectors(nation: DataFrame) -> DataFrame:
-    ident = F.col("n_nationkey").cast(LONG)
-    english = F.when(ident == 7, F.lit("Lunch Check")).otherwise(
-        F.concat(F.lit("Brand#"), ident + 1)
-    )
-    german = F.concat(F.lit("Marke "), ident + 1)
-    return nation.select(
-        ident.alias("id"),
-        F.when(ident % 5 != 0, F.create_map(F.lit("en-US"), english))
-        .otherwise(F.create_map(F.lit("de-DE"), german))
-        .alias("name"),
-    )
-
-
-def _terminals(nation: DataFrame) -> DataFrame:
-    ident = F.col("spaceid") * 10 + F.col("k")
-    return nation.select(
-        F.col("n_nationkey").cast(LONG).alias("spaceid"),
-        F.explode(F.sequence(F.lit(1), F.lit(TERMINALS_PER_SPACE))).alias("k"),
-    ).select(
-        ident.alias("id"),
-        "spaceid",
-        F.concat(F.lit("T-"), ident).alias("identifier"),
-        F.concat_ws(" ", F.lit("Outlet"), F.char(F.col("spaceid") + 65), "k").alias("name"),
-    )
-
-
-def _spaces(nation: DataFrame) -> DataFrame:
-    return nation.select(
-        F.col("n_nationkey").cast(LONG).alias("spaceid"),
-        F.col("n_regionkey").cast(LONG).alias("accountid"),
-    )
-
-
-def _charge(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("transaction_id")
-    )
-
-
-def _records(lines: DataFrame) -> DataFrame:
-    return _settled_lines(lines).select(
-        F.col("l_orderkey").alias("transaction_id"), _line_id().alias("banktransaction_id")
-    )
-
-
-def _bridge(lines: DataFrame) -> DataFrame:
-    return lines.select(
-        F.col("l_orderkey").alias("transaction_id"),
-        _line_id().alias("lineitems_id"),
-        space_of(F.col("l_orderkey")).alias("spaceid"),
-    )
-
-
-def _items(lines: DataFrame) -> DataFrame:
-    is_tip = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
-    return lines.select(
-        _line_id().alias("id"),
-        space_of(F.col("l_orderkey")).alias("spaceid"),
-        F.when(is_tip, "TIP").otherwise("PRODUCT").alias("type"),
-        money(F.col("l_extendedprice")).alias("amountincludingtax"),
-    )
-
-
-# Table -> test table it comes from and how.
-_SOURCES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    "transaction": ("orders", _transaction),
-    "paymentconnectorconfiguration": ("nation", _configurations),
-    "paymentconnector": ("nation", _connectors),
-    "paymentterminal": ("nation", _terminals),
-    "charge": ("orders", _charge),
-    "chargeattempt": ("orders", _chargeattempt),
-    "payfacsettlementrecord": ("lineitem", _records),
-    "banktransaction": ("lineitem", _banktransaction),
-    "currentaccountwithdrawal": ("orders", _withdrawals),
-    "spacereference": ("nation", _spaces),
-    "transaction_lineitem": ("lineitem", _bridge),
-    "lineitem": ("lineitem", _items),
+def _money(cents_as_double: str) -> str:
+    return f"CAST(CAST({cents_as_double} AS DECIMAL(18,2)) AS DECIMAL(20,8))"
+
+
+def _fee(amount: str) -> str:
+    return f"CAST(round({amount} * 0.0095BD, 2) AS DECIMAL(20,8))"
+
+
+def _space(order_key: str) -> str:
+    return f"CASE WHEN {order_key} % 10 < 3 THEN 0L ELSE {order_key} % {SPACES} END"
+
+
+def _label(descriptor: str, text: str) -> str:
+    return f"map('descriptor', '{descriptor}', 'shortTextContent', {text})"
+
+
+_GROSS = _money("o_totalprice")
+_POSTING = _money("l_extendedprice")
+_ORDER_SPACE, _LINE_SPACE = _space("o_orderkey"), _space("l_orderkey")
+_LINE_ID = (
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
+    " unix_date(CAST(l_shipdate AS DATE)), CAST(round(l_extendedprice * 100) AS BIGINT))"
+)
+# Every fourth order has not been settled at all.
+_HAS_RECORDS = "l_orderkey % 4 <> 0"
+_CARD = "concat('XXXX-XXXX-XXXX-', lpad(CAST(o_custkey % 10000 AS STRING), 4, '0'))"
+
+# Table -> the test table it comes from, row filter, steps of projections.
+_DERIVED: dict[str, tuple[str, str | None, list[list[str]]]] = {
+    "transaction": ("orders", None, [[
+        "o_orderkey AS id",
+        f"{_ORDER_SPACE} AS spaceid",
+        "o_orderdate - make_dt_interval(0, 0, 0, o_orderkey % 86400) AS createdon",
+        "o_orderdate AS completedon",
+        "CASE o_orderstatus WHEN 'F' THEN 'FULFILL' WHEN 'O' THEN 'COMPLETED' ELSE 'PENDING' END AS state",
+        f"CASE WHEN ({_ORDER_SPACE}) % {ACCOUNTS} = 0 THEN 'EUR' ELSE 'CHF' END AS currency",
+        f"{_GROSS} AS completedamount",
+        "CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN CAST(0 AS DECIMAL(20,8))"
+        f" ELSE {_fee(_GROSS)} END AS totalappliedfees",
+        f"o_custkey % {CONNECTORS} AS paymentconnectorconfiguration_id",
+        f"CASE WHEN o_orderkey % 5 <> 0 THEN ({_ORDER_SPACE}) * 10 + o_orderkey % {TERMINALS_PER_SPACE} + 1 END"
+        " AS terminal_id",
+        "concat('M-', o_orderkey) AS merchantreference",
+    ]]),
+    "spacereference": ("nation", None, [[
+        "CAST(n_nationkey AS BIGINT) AS spaceid", "CAST(n_regionkey AS BIGINT) AS accountid",
+    ]]),
+    "paymentconnectorconfiguration": ("nation", None, [
+        ["CAST(n_nationkey AS BIGINT) AS spaceid", f"explode(sequence(0L, {CONNECTORS - 1}L)) AS id"],
+        ["id", "spaceid", f"(id + spaceid) % {CONNECTORS} AS connector"],
+        ["id", "spaceid", "connector",
+         "CASE WHEN connector % 10 <> 0 THEN concat_ws(' ', 'Config', id, spaceid) END AS name"],
+    ]),
+    "paymentconnector": ("nation", None, [
+        ["CAST(n_nationkey AS BIGINT) AS id"],
+        ["id",
+         "CASE WHEN id % 5 = 0 THEN map('de-DE', concat('Marke ', id + 1))"
+         " ELSE map('en-US', CASE WHEN id = 7 THEN 'Lunch Check' ELSE concat('Brand#', id + 1) END) END AS name"],
+    ]),
+    "paymentterminal": ("nation", None, [
+        ["CAST(n_nationkey AS BIGINT) AS spaceid", f"explode(sequence(1, {TERMINALS_PER_SPACE})) AS k"],
+        ["spaceid * 10 + k AS id", "spaceid", "concat('T-', spaceid * 10 + k) AS identifier",
+         "concat_ws(' ', 'Outlet', char(spaceid + 65), k) AS name"],
+    ]),
+    "charge": ("orders", None, [["o_orderkey AS id", "o_orderkey AS transaction_id"]]),
+    "chargeattempt": ("orders", None, [
+        ["o_orderkey", "o_custkey", "explode(sequence(0L, o_orderkey % 2)) AS attempt"],
+        ["o_orderkey", "o_custkey", "o_orderkey * 2 + attempt AS id"],
+        ["id", "o_orderkey AS charge_id", f"{_ORDER_SPACE} AS spaceid",
+         "CASE WHEN id % 7 = 0 THEN CAST(array() AS ARRAY<MAP<STRING, STRING>>)"
+         f" ELSE array({_label(MASKED_CARD_LABEL, _CARD)}, {_label(AUTH_CODE_LABEL, "concat('A', id)")})"
+         " END AS labels"],
+    ]),
+    "payfacsettlementrecord": ("lineitem", _HAS_RECORDS, [[
+        "l_orderkey AS transaction_id", f"{_LINE_ID} AS banktransaction_id",
+    ]]),
+    "banktransaction": ("lineitem", _HAS_RECORDS, [[
+        f"{_LINE_ID} AS id",
+        "CASE WHEN l_linestatus = 'F' THEN 'SETTLED' ELSE 'UPCOMING' END AS state",
+        "CASE WHEN l_linestatus = 'F' OR l_returnflag <> 'N'"
+        " THEN l_shipdate + make_dt_interval(0, l_linenumber * 2) END AS valuedate",
+        f"{_POSTING} AS postingamount",
+        f"CAST({_POSTING} - {_fee(_POSTING)} AS DECIMAL(20,8)) AS valueamount",
+        "concat('B-', l_suppkey) AS reference",
+        "l_shipdate AS paymentdate",
+    ]]),
+    "currentaccountwithdrawal": ("orders", "unix_date(CAST(o_orderdate AS DATE)) % 2 = 0", [
+        ["o_orderdate AS day"],
+        ["day", f"explode(sequence(0L, {ACCOUNTS - 1}L)) AS accountid"],
+        ["concat_ws('-', 'W', accountid, CAST(CAST(day AS DATE) AS STRING)) AS internalreference",
+         "day + make_dt_interval(0, CAST(accountid * 3 AS INT)) AS createdon", "accountid"],
+    ]),
+    "transaction_lineitem": ("lineitem", None, [[
+        "l_orderkey AS transaction_id", f"{_LINE_ID} AS lineitems_id", f"{_LINE_SPACE} AS spaceid",
+    ]]),
+    "lineitem": ("lineitem", None, [[
+        f"{_LINE_ID} AS id",
+        f"{_LINE_SPACE} AS spaceid",
+        "CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'TIP' ELSE 'PRODUCT' END AS type",
+        f"{_POSTING} AS amountincludingtax",
+    ]]),
 }
 
 
@@ -250,9 +130,16 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def read(source: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{source}.parquet")
 
-    return Tables(
-        {
-            name: lambda source=source, derive=derive: derive(read(source))
-            for name, (source, derive) in _SOURCES.items()
-        }
-    )
+    def derive(name: str) -> DataFrame:
+        source, kept, steps = _DERIVED[name]
+        df = read(source) if kept is None else read(source).filter(kept)
+        first, *rest = steps
+        df = df.selectExpr(*first)
+        if name == "currentaccountwithdrawal":
+            # Withdrawals happen once per day and account, however many orders the day has.
+            df = df.distinct()
+        for projection in rest:
+            df = df.selectExpr(*projection)
+        return df
+
+    return Tables({name: lambda name=name: derive(name) for name in _DERIVED})
