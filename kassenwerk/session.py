@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,21 +50,30 @@ def build_session(
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only a local-mode session without that setting gets a temporary folder; on a
-    cluster a machine-local folder would be lost with its machine, so that is refused.
+    A local-mode session without that setting uses a folder in its warehouse; on a
+    cluster the setting is required, because every executor has to reach the folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="kassenwerk-"))
-        named = context.getCheckpointDir()
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/kassenwerk/{label}-{uuid.uuid4().hex}"
+    """A new path below the scratch folder; what is written there goes with the session."""
+    path = f"{scratch_root(spark)}/kassenwerk/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table whose readers are done, before the session ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
