@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import math
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +89,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package also where it is not installed.
+
+    The archive lies in the shared scratch folder; each session gets it once.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_kassenwerk_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    path = scratch_path(spark, "package") + "/kassenwerk.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(path)
+    context._kassenwerk_shipped = True
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if a count proves ``df`` small; otherwise leave a plain join."""
     if df.limit(rows + 1).count() <= rows:
