@@ -177,7 +177,26 @@ def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.newest_runs(log)
 
 
+def _llm() -> tuple[dict[str, Query], dict[str, str]]:
+    """The training-data queries and their SQL; none where that subpackage is not there."""
+    try:
+        import corpus_pipeline
+        from kassenwerk.llm import registry
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("kassenwerk.llm", "corpus_pipeline"):
+            raise
+        return {}, {}
+    sql = registry.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return registry.queries() | {"pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Query]:
+    return _reference_queries() | _llm()[0]
+
+
+def _reference_queries() -> dict[str, Query]:
     return {
         # Reports
         "brand_report": _on_tables(lambda t: reports.brand_report(t, *PERIOD)),
@@ -288,4 +307,4 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(ORACLE) | _llm()[1]
