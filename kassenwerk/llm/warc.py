@@ -65,9 +65,17 @@ def records_of(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
     firsts = told.groupBy(F.col("digest").alias("_digest")).agg(F.min("page_id").alias("_first"))
     again = (F.col("bytes") >= min_bytes) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return told.join(firsts, F.col("digest") == F.col("_digest")).select(
-        "page_id", "url", "body", "digest", "bytes", F.when(again, F.col("_first")).alias("refers_to")
+    # Only narrow rows meet on the digest. The revisits among them are written, so that
+    # Catalyst knows their size when it joins them to the pages: payloads move only if it has to.
+    revisits = (
+        told.select("page_id", "digest", "bytes")
+        .join(firsts, F.col("digest") == F.col("_digest"))
+        .filter(again)
+        .select(F.col("page_id").alias("_page"), F.xxhash64("digest").alias("_key"), F.col("_first").alias("refers_to"))
+        .distinct()
     )
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.xxhash64("digest") == F.col("_key"))
+    return told.join(written(revisits, "revisits"), same, "left").drop("_page", "_key")
 
 
 def _record() -> Column:
