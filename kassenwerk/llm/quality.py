@@ -56,7 +56,7 @@ RULES = (
     Rule("exclamations_per_word", ">", 0.3),
     Rule("n_stop_words", "<", 2),
     Rule("stop_words_per_word", "<", 0.01),
-    Rule("dup_line_share", ">", 0.3),
+    Rule("dup_line_share", ">", 0.5),
     Rule("bullet_line_share", ">", 0.9),
     Rule("ellipsis_line_share", ">", 0.3),
 )
@@ -92,11 +92,8 @@ def _covered(windows: Column) -> Column:
 
 
 def _repeat_words(w: Column) -> Column:
-    window = F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3),
-        lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
-    )
-    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(window, _covered))
+    window = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(F.slice(window, 1, F.size(w) - 2), _covered))
 
 
 def _count(column: Column) -> Column:
@@ -107,7 +104,14 @@ def metrics(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the counts and ratios of each whole text."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    only = lambda kind: F.length(F.regexp_replace(body, f"[^{kind}]+", ""))
+    signs = F.regexp_replace(body, f"[^{SYMBOLS}!]++", "")
+    of_signs = let(
+        signs,
+        lambda x: F.struct(
+            _count(F.length(F.replace(x, F.lit("!"), F.lit("")))).alias("n_symbols"),
+            _count(F.length(x) - F.length(F.replace(x, F.lit("!"), F.lit("")))).alias("n_exclamations"),
+        ),
+    )
     of_words = let(
         words(F.col(text)),
         lambda w: F.struct(
@@ -122,16 +126,18 @@ def metrics(df: DataFrame, text: str = "text") -> DataFrame:
         lambda x: F.struct(
             _count(F.size(x)).alias("n_lines"),
             _count(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
-            _count(F.size(F.filter(x, lambda y: y.rlike(r"^\s*[-*•]")))).alias("n_bullet_lines"),
-            _count(F.size(F.filter(x, lambda y: y.rlike(r"(?:\.\.\.|…)\s*$")))).alias("n_ellipsis_lines"),
+            _count(F.size(F.filter(x, lambda y: F.substring(F.ltrim(y), 1, 1).isin("-", "*", "•")))).alias("n_bullet_lines"),
+            _count(F.size(F.filter(x, lambda y: F.rtrim(y).endswith("...") | F.rtrim(y).endswith("…")))).alias("n_ellipsis_lines"),
         ),
     )
+    # Made by a generator of one row: a filter on the verdict would otherwise be pushed below
+    # the projection, with a copy of all this for each rule.
+    made = F.struct(of_words.alias("_w"), of_lines.alias("_l"), of_signs.alias("_s"))
     counted = (
-        df.withColumns({"_w": of_words, "_l": of_lines})
-        .withColumns({c: F.col("_w")[c] for c in ("n_words", "word_chars", "n_stop_words", "n_repeat_words")})
-        .withColumns({c: F.col("_l")[c] for c in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")})
-        .withColumns({"n_symbols": _count(only(SYMBOLS)), "n_exclamations": _count(only("!"))})
-        .drop("_w", "_l")
+        df.select("*", F.explode(F.array(made)).alias("_made"))
+        .select(*[F.col(f"`{c}`") for c in df.columns if c not in COUNTS], "_made.*")
+        .select("*", "_w.*", "_l.*", "_s.*")
+        .drop("_w", "_l", "_s")
     )
     share = lambda part, whole: F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
     return counted.withColumns(

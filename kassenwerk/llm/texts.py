@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
-SPACE_RUN = r"[\x20\x09-\x0D]+"
+SPACE_RUN = r"[\x20\x09-\x0D]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
