@@ -36,6 +36,7 @@ START, END = "1990-01-01 00:00:00", "2001-08-02 00:00:00"
 PERIOD = (SPACES, START, END)
 CARD = "77"
 ACCOUNT = ["account_id"]
+SAMPLE_ROWS = 50  # the samples' and the history's limit is their feature
 
 
 def _on_tables(run: Callable[[Tables], DataFrame]) -> Query:
@@ -174,7 +175,7 @@ def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = derived_logs.submissions(spark, sf_dir).select("seq", "token", "mode", "submitted_at")
-    return history.newest_runs(log)
+    return history.newest_runs(log, SAMPLE_ROWS)
 
 
 def _llm() -> tuple[dict[str, Query], dict[str, str]]:
@@ -205,9 +206,15 @@ def _reference_queries() -> dict[str, Query]:
             lambda t: reports.transaction_export(t, *PERIOD, columns=reports.EXPORT_COLUMNS.keys())
         ),
         "transaction_export_default": _on_tables(
+            lambda t: reports.transaction_export(t, *PERIOD)
+        ),
+        "transaction_export_terminals": _on_tables(
             lambda t: reports.transaction_export(t, *PERIOD, TERMINALS)
         ),
-        "card_search": _on_tables(lambda t: reports.card_search(t, *PERIOD, CARD, TERMINALS)),
+        "card_search": _on_tables(lambda t: reports.card_search(t, *PERIOD, CARD)),
+        "card_search_terminals": _on_tables(
+            lambda t: reports.card_search(t, *PERIOD, CARD, TERMINALS)
+        ),
         "settlement_transactions": _on_tables(
             lambda t: _day_text(
                 reports.settlement_transactions(t, START, END), "settlement_datum"
@@ -281,9 +288,9 @@ def _reference_queries() -> dict[str, Query]:
             lambda t: checks.withdrawal_count_account(t, *PERIOD)
         ),
         "settlement_record_count": _on_tables(lambda t: checks.settlement_record_count(t, *PERIOD)),
-        "bank_reference_sample": _on_tables(lambda t: checks.bank_reference_sample(t, *PERIOD)),
+        "bank_reference_sample": _on_tables(lambda t: checks.bank_reference_sample(t, *PERIOD, SAMPLE_ROWS)),
         "lineitem_types": _on_tables(lambda t: checks.lineitem_types(t, SPACES)),
-        "tip_inclusion_check": _on_tables(lambda t: checks.tip_inclusion_check(t, *PERIOD)),
+        "tip_inclusion_check": _on_tables(lambda t: checks.tip_inclusion_check(t, *PERIOD, SAMPLE_ROWS)),
         # Expressions
         "amount_texts": _on_tables(_amount_texts),
         "outlet_names": _outlet_names,

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kassenwerk.schema import MONEY, TOTAL
+from kassenwerk.schema import TOTAL
+
+READ = "decimal(38,8)"
+PLAIN_NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
 
 
 def read_amount(text: Column) -> Column:
-    """Decimal text as an exact amount; unreadable or missing text counts as zero."""
-    return F.coalesce(F.trim(text).try_cast(MONEY), F.lit(0).cast(MONEY))
+    """Decimal text as an exact amount; text that is no plain number, or none, counts as zero.
+
+    A plain number always counts: one of more than 30 digits before the point stops the
+    query (or is null without ANSI mode) instead of passing for zero.
+    """
+    plain = F.trim(text)
+    return F.when(plain.rlike(PLAIN_NUMBER), plain.cast(READ)).otherwise(F.lit(0).cast(READ))
 
 
 def read_count(text: Column) -> Column:

@@ -43,13 +43,14 @@ def tips(tables: Tables, tx: DataFrame, spaces: Sequence[int] | None = None) ->
     if spaces is not None:
         bridge = bridge.filter(one_of(F.col("spaceid"), spaces))
         items = items.filter(one_of(F.col("spaceid"), spaces))
+    # The bridge of all history is cut to the report before it meets the line items.
+    bridge = of_report(bridge, tx)
     items = items.select(F.col("id").alias("lineitems_id"), "spaceid", "amountincludingtax")
-    summed = (
+    return (
         bridge.join(items, ["lineitems_id", "spaceid"])
         .groupBy("transaction_id")
         .agg(total(F.col("amountincludingtax")).alias("tip_amount"))
     )
-    return of_report(summed, tx)
 
 
 def record_counts(tables: Tables, tx: DataFrame) -> DataFrame:
@@ -127,7 +128,12 @@ def cards(tables: Tables, tx: DataFrame, spaces: Sequence[int] | None = None) ->
 
 
 def with_account(tables: Tables, tx: DataFrame) -> DataFrame:
-    return tx.join(tables.spacereference.select("spaceid", "accountid"), "spaceid")
+    """Transactions with their space's account; spaces without one keep their sales, account NULL.
+
+    A space listed several times has one account, the smallest, so that it counts once.
+    """
+    one = tables.spacereference.groupBy("spaceid").agg(F.min("accountid").alias("accountid"))
+    return tx.join(one, "spaceid", "left")
 
 
 def account_withdrawals(

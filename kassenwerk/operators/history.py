@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kassenwerk.functions.text import blank_to_null, status_text
 
 # Fixed values of the run log.
-HISTORY_MAX = 50
 MODE_LABELS = {
     "brand": "Brand-Auswertung",
     "terminal": "Terminal-Report",
@@ -69,17 +68,17 @@ def run_log_rows(submissions: DataFrame) -> DataFrame:
     )
 
 
-def newest_runs(log: DataFrame, limit: int = HISTORY_MAX) -> DataFrame:
+def newest_runs(log: DataFrame, limit: int | None = None) -> DataFrame:
     """The most recent runs, newest first, each token once with its latest entry.
 
     ``seq`` is the order of insertion. A token logged again moves to the front. Only the
-    token and its latest ``seq`` are aggregated; the at most ``limit`` winners then pick
-    their full entries from the log.
+    token and its latest ``seq`` are aggregated; the winners, at most ``limit`` if there is
+    one, then pick their full entries from the log.
     """
-    winners = (
-        log.groupBy("token").agg(F.max("seq").alias("seq")).orderBy(F.desc("seq")).limit(limit)
-    )
-    return log.join(F.broadcast(winners), ["token", "seq"]).select(*log.columns).orderBy(
+    winners = log.groupBy("token").agg(F.max("seq").alias("seq"))
+    if limit is not None:
+        winners = F.broadcast(winners.orderBy(F.desc("seq")).limit(limit))
+    return log.join(winners, ["token", "seq"]).select(*log.columns).orderBy(
         F.desc("seq")
     )
 

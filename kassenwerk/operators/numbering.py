@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kassenwerk.session import broadcast_if_small, written
+from kassenwerk.session import written
 
 # monotonically_increasing_id keeps the partition in the bits above this one.
 _ROW_BITS = 33
@@ -45,6 +45,6 @@ def number_within(
         groups,
         F.col("_part") == F.col("__part"),
     )
-    return placed.join(broadcast_if_small(offsets), matches).select(
+    return placed.join(offsets, matches).select(
         *df.columns, (F.col("_seq") + F.col("_offset")).alias(number)
     )

@@ -15,7 +15,6 @@ from kassenwerk.operators.timeline import pairs_by_whole_days
 from kassenwerk.schema import TOTAL
 from kassenwerk.sources.tables import Tables
 
-SAMPLE_ROWS = 50
 
 
 def bank_states(tables: Tables, spaces: Sequence[int], start: Moment, end: Moment) -> DataFrame:
@@ -210,15 +209,15 @@ def settlement_record_count(
 
 
 def bank_reference_sample(
-    tables: Tables, spaces: Sequence[int], start: Moment, end: Moment, rows: int = SAMPLE_ROWS
+    tables: Tables, spaces: Sequence[int], start: Moment, end: Moment, rows: int | None = None
 ) -> DataFrame:
     """A look at bank references and payment dates; ordered so that it can be repeated."""
-    return (
+    found = (
         enrich.bank_rows(tables, report_transactions(tables, spaces, start, end))
         .select("transaction_id", "banktransaction_id", "reference", "paymentdate")
         .orderBy("transaction_id", "banktransaction_id")
-        .limit(rows)
     )
+    return found if rows is None else found.limit(rows)
 
 
 def lineitem_types(tables: Tables, spaces: Sequence[int]) -> DataFrame:
@@ -233,7 +232,7 @@ def lineitem_types(tables: Tables, spaces: Sequence[int]) -> DataFrame:
 
 
 def tip_inclusion_check(
-    tables: Tables, spaces: Sequence[int], start: Moment, end: Moment, rows: int = SAMPLE_ROWS
+    tables: Tables, spaces: Sequence[int], start: Moment, end: Moment, rows: int | None = None
 ) -> DataFrame:
     """Does the gross amount contain the tip? Gross minus all line items, tipped sales only.
 
@@ -241,12 +240,15 @@ def tip_inclusion_check(
     very many of them arrives as one row.
     """
     tx = report_transactions(tables, spaces, start, end).select("id", "spaceid", "completedamount")
-    li = tables.lineitem.select(
+    li = tables.lineitem.filter(one_of(F.col("spaceid"), spaces)).select(
         F.col("id").alias("lineitems_id"), "spaceid", "type", "amountincludingtax"
     )
+    bridge = tables.transaction_lineitem.filter(one_of(F.col("spaceid"), spaces)).join(
+        tx.select(F.col("id").alias("transaction_id"), "spaceid"), ["transaction_id", "spaceid"], "left_semi"
+    )
     amount = F.col("amountincludingtax")
     sums = (
-        tables.transaction_lineitem.join(li, ["lineitems_id", "spaceid"])
+        bridge.join(li, ["lineitems_id", "spaceid"])
         .groupBy(F.col("transaction_id").alias("id"), "spaceid")
         .agg(
             total(F.when(F.col("type") == "TIP", amount).otherwise(0)).alias("tip"),
@@ -254,7 +256,7 @@ def tip_inclusion_check(
         )
         .filter(F.col("tip") > 0)
     )
-    return (
+    found = (
         tx.join(sums, ["id", "spaceid"])
         .select(
             "id",
@@ -266,5 +268,5 @@ def tip_inclusion_check(
             .alias("differenz_brutto_zu_lineitems"),
         )
         .orderBy("id")
-        .limit(rows)
     )
+    return found if rows is None else found.limit(rows)

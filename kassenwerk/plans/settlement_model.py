@@ -20,7 +20,7 @@ from kassenwerk.functions.dates import report_end_day
 from kassenwerk.functions.money import total
 from kassenwerk.operators.numbering import number_within
 from kassenwerk.schema import MONEY, TOTAL
-from kassenwerk.session import broadcast_if_small, written
+from kassenwerk.session import written
 
 # Row states of the report.
 SETTLED, PENDING, OPEN = "Settled", "Ausstehend", "Offen"
@@ -202,7 +202,7 @@ def detail(numbered: DataFrame, days: DataFrame, scope: Scope = ()) -> DataFrame
         *[F.col(c).alias(f"_{c}") for c in keys], F.col("nr").alias("settlement_nr")
     )
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
-    return numbered.join(broadcast_if_small(settlements), same).select(
+    return numbered.join(settlements, same).select(
         *scope,
         "settlement_nr",
         "datum",

@@ -36,13 +36,17 @@ def merged_brand_groups(
     return _merged(found, saved, "brand", "brand_group", brand_group(F.col("brand"), default))
 
 
+def _unique(mapping: DataFrame, key: str, group: str, name: str) -> DataFrame:
+    """One row per key, the smallest name that is not blank: a repeated entry doubles no money."""
+    return mapping.groupBy(key).agg(F.min(blank_to_null(F.col(group))).alias(name))
+
+
 def _merged(
     found: DataFrame, saved: DataFrame | None, key: str, group: str, rule: Column
 ) -> DataFrame:
     if saved is None:
         return found.select(key, rule.alias(group))
-    known = saved.select(F.col(key), F.col(group).alias("_saved"))
-    return found.join(known, key, "left").select(
+    return found.join(_unique(saved, key, group, "_saved"), key, "left").select(
         key, F.coalesce(blank_to_null(F.col("_saved")), rule).alias(group)
     )
 
@@ -63,9 +67,7 @@ def grouped_rows(
         if mapping is None:
             rows = rows.withColumn(f"_saved_{saved}", F.lit(None).cast("string"))
         else:
-            rows = rows.join(
-                mapping.select(key, F.col(saved).alias(f"_saved_{saved}")), key, "left"
-            )
+            rows = rows.join(_unique(mapping, key, saved, f"_saved_{saved}"), key, "left")
     return rows.select(
         F.coalesce(
             blank_to_null(F.col("_saved_outlet")), outlet_group(F.col("terminal_name"))

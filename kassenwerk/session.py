@@ -9,13 +9,10 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MIB = 1024 * 1024
 # One shuffle partition should hold about this much; AQE merges what turns out smaller.
 SHUFFLE_PARTITION_BYTES = 128 * MIB
-# A side is broadcast only after counting that it has at most this many rows.
-BROADCAST_ROWS = 200_000
 
 
 def shuffle_partitions_for(input_bytes: int, minimum: int = 8) -> int:
@@ -109,10 +106,3 @@ def ship_package(spark: SparkSession) -> None:
     out.close()
     context.addPyFile(path)
     context._kassenwerk_shipped = True
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count proves ``df`` small; otherwise leave a plain join."""
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df

@@ -23,6 +23,7 @@ TERMINAL_REQUIRED = (
     "terminal_identifier", "terminal_name", "brand", "brutto_gross", "tip_total",
 )
 DEFAULT_CURRENCY = "CHF"
+MALFORMED = "_malformed"
 NO_RECORD, UNKNOWN = "NO_RECORD", "UNKNOWN"
 
 
@@ -34,17 +35,28 @@ class CsvError:
 
 @dataclass(frozen=True)
 class CsvRows:
+    """``malformed`` holds the text of rows whose width is not the header's; they are not in ``rows``."""
+
     rows: DataFrame
     error: CsvError | None = None
+    malformed: DataFrame | None = None
+
+
+def _apart(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    # A text column takes part in the test, since the mark alone cannot be asked for.
+    first = F.coalesce(F.col(raw.columns[0]), F.lit(""))
+    bad = F.length(F.concat(first, F.coalesce(F.col(MALFORMED), F.lit("")))) > F.length(first)
+    return raw.filter(~bad), raw.filter(bad).select(raw.columns[0], F.col(MALFORMED).alias("line")).select("line")
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with a header, every column as text. Files with another header order are refused.
 
     ``multi_line`` allows line breaks inside quotes; such files cannot be split, so each
-    one is read by a single task.
+    one is read by a single task. Without it, files known to have no such breaks are split.
+    A row with more or fewer cells than the header carries its text in ``MALFORMED``.
     """
-    return (
+    reader = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
@@ -52,15 +64,34 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> D
         .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
     )
+    names = reader.csv(path).columns
+    if not names:
+        return reader.csv(path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
+    return reader.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).csv(path)
 
 
-def csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Any CSV as rows of cells, the header being the first row of its file."""
-    df = spark.read.option("header", False).option("quote", '"').option("escape", '"').csv(path)
-    cells = [F.coalesce(F.col(c), F.lit("")) for c in df.columns]
-    return df.select((F.array(*cells) if cells else F.array().cast("array<string>")).alias("cells"))
+def csv_cells(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Any CSV as rows of cells, the header being the first row of its file.
+
+    Every row keeps its own width, so files of stacked tables lose nothing. With
+    ``multi_line`` a file is read by one task and quotes may hold line breaks; without it
+    files are split and such rows come in parts.
+    """
+    if multi_line:
+        row = r'((?:"(?:[^"]|"")*+"|[^"\r\n])*+)(?:\r?\n|\r|$)'
+        files = spark.read.option("wholetext", True).text(path)
+        lines = files.select(F.explode(F.regexp_extract_all("value", F.lit(row), F.lit(1))).alias("line"))
+    else:
+        lines = spark.read.text(path).withColumnRenamed("value", "line")
+    field = r'(?:^|,)("(?:[^"]|"")*+"|[^,]*+)'
+    plain = lambda x: F.when(
+        x.startswith('"'), F.replace(F.substring(x, 2, F.length(x) - 2), F.lit('""'), F.lit('"'))
+    ).otherwise(x)
+    return lines.filter("line != ''").select(
+        F.transform(F.regexp_extract_all("line", F.lit(field), F.lit(1)), plain).alias("cells")
+    )
 
 
 def _failed(spark: SparkSession, schema: T.StructType, error: CsvError) -> CsvRows:
@@ -82,7 +113,7 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def read_terminal_csv(spark: SparkSession, path: str, multi_line: bool = False) -> CsvRows:
+def read_terminal_csv(spark: SparkSession, path: str, multi_line: bool = True) -> CsvRows:
     """Terminal report rows; the unsettled counter is accepted under either of its names."""
     raw = read_csv_text(spark, path, multi_line)
     counter = next((name for name in COUNTER_NAMES if name in raw.columns), None)
@@ -92,10 +123,12 @@ def read_terminal_csv(spark: SparkSession, path: str, multi_line: bool = False)
     failure = _checked(spark, raw, TERMINAL_ROW, missing)
     if failure is not None:
         return failure
+    good, bad = _apart(raw)
     has_count, has_currency = ("anzahl_transaktionen" in raw.columns, "waehrung" in raw.columns)
     currency = blank_to_null(F.col("waehrung")) if has_currency else F.lit(None)
     return CsvRows(
-        raw.select(
+        malformed=bad,
+        rows=good.select(
             _text("terminal_identifier").alias("terminal_identifier"),
             _text("terminal_name").alias("terminal_name"),
             _text("brand").alias("brand"),
@@ -112,7 +145,7 @@ def read_terminal_csv(spark: SparkSession, path: str, multi_line: bool = False)
     )
 
 
-def read_settlement_csv(spark: SparkSession, path: str, multi_line: bool = False) -> CsvRows:
+def read_settlement_csv(spark: SparkSession, path: str, multi_line: bool = True) -> CsvRows:
     """Settlement rows; all fourteen columns are required, most cells may be blank."""
     raw = read_csv_text(spark, path, multi_line)
     missing = [name for name in SETTLEMENT_ROW.names if name not in raw.columns]
@@ -130,4 +163,5 @@ def read_settlement_csv(spark: SparkSession, path: str, multi_line: bool = False
         **{name: _text(name) for name in texts},
         **{name: read_amount(F.col(name)) for name in amounts},
     }
-    return CsvRows(raw.select(*[value[name].alias(name) for name in SETTLEMENT_ROW.names]))
+    good, bad = _apart(raw)
+    return CsvRows(good.select(*[value[name].alias(name) for name in SETTLEMENT_ROW.names]), malformed=bad)

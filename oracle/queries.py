@@ -326,16 +326,25 @@ FROM branded LEFT JOIN tip ON tip.transaction_id = branded.id GROUP BY 1, 2, 3""
        b.completedamount - coalesce(tip.tip_amount, 0) AS gross_excl_tip
 FROM branded b LEFT JOIN settle s ON s.transaction_id = b.id LEFT JOIN payout p ON p.transaction_id = b.id
      LEFT JOIN card c ON c.transaction_id = b.id LEFT JOIN tip ON tip.transaction_id = b.id""", **SIDES),
-    "transaction_export_default": with_tables(
+    "transaction_export_terminals": with_tables(
         f"""SELECT {EXPORT_BASE}, s.valuedate AS auszahlungsdatum, c.masked_card, c.auth_code, s.settlement_state
 FROM branded b LEFT JOIN settle s ON s.transaction_id = b.id LEFT JOIN card c ON c.transaction_id = b.id
 WHERE b.terminal_identifier IS NOT NULL""", **SIDES),
-    "card_search": with_tables(
+    "card_search_terminals": with_tables(
         """SELECT b.spaceid AS space_id, b.completedon, b.terminal_identifier, b.terminal_name,
        b.completedamount AS gross_amount, b.currency AS waehrung, b.brand, c.masked_card, c.auth_code,
        b.id AS transaction_id, b.state
 FROM branded b JOIN card c ON c.transaction_id = b.id
 WHERE b.terminal_identifier IS NOT NULL AND c.masked_card LIKE '%77'""", **SIDES),
+    "transaction_export_default": with_tables(
+        f"""SELECT {EXPORT_BASE}, s.valuedate AS auszahlungsdatum, c.masked_card, c.auth_code, s.settlement_state
+FROM branded b LEFT JOIN settle s ON s.transaction_id = b.id LEFT JOIN card c ON c.transaction_id = b.id""", **SIDES),
+    "card_search": with_tables(
+        """SELECT b.spaceid AS space_id, b.completedon, b.terminal_identifier, b.terminal_name,
+       b.completedamount AS gross_amount, b.currency AS waehrung, b.brand, c.masked_card, c.auth_code,
+       b.id AS transaction_id, b.state
+FROM branded b JOIN card c ON c.transaction_id = b.id
+WHERE c.masked_card LIKE '%77'""", **SIDES),
     "settlement_transactions": with_tables(
         "SELECT * EXCLUDE (account_id) REPLACE (CAST(settlement_datum AS VARCHAR) AS settlement_datum) FROM settlement_rows",
         **MODEL),
