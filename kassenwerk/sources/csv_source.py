@@ -81,7 +81,7 @@ def csv_cells(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
     """
     if multi_line:
         row = r'((?:"(?:[^"]|"")*+"|[^"\r\n])*+)(?:\r?\n|\r|$)'
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
         lines = files.select(F.explode(F.regexp_extract_all("value", F.lit(row), F.lit(1))).alias("line"))
     else:
         lines = spark.read.text(path).withColumnRenamed("value", "line")
