@@ -14,7 +14,7 @@ The end mark stands before a text's first word. The filter can only overstate a
 a few per cent of absent bigrams; counts are cut at that of their first word.
 
 Null texts count as empty: they have the end mark only. Rows without id are in the training
-part and dealt into one block. Repeated rows count as often as they stand there. An empty
+part. Repeated rows count as often as they stand there. An empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -188,7 +188,8 @@ def score(df: DataFrame, held_out: Column) -> DataFrame:
     )
     size = narrow.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     blocks, segments = 1 + size // BLOCK_BYTES, 1 + size // (6 * SEGMENT_TOKENS)
-    dealt = narrow.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long"))), F.lit(blocks)))
+    # By id and text: rows without id, or with the same one, do not meet in one block.
+    dealt = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     asked = dealt.groupBy("block").applyInArrow(_ask(segments), _ASKED)
     answers = written(asked.groupBy("segment", "kind").applyInArrow(_answer, _ANSWERED), "answers")
     sums = answers.filter("kind = 'word'").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
