@@ -99,6 +99,17 @@ def _kpis(t: Tables) -> DataFrame:
     )
 
 
+def _refusals(t: Tables) -> DataFrame:
+    """Every second account has sales in a further currency; the others are reported."""
+    foreign = (F.col("account_id") % 2 == 1) & (F.col("transaction_id") % 10 == 0)
+    rows = _settlement_rows(t).withColumn("waehrung", F.when(foreign, "USD").otherwise(F.col("waehrung")))
+    report = settle.settlement_report(rows, END, with_detail=False, scope=ACCOUNT)
+    return report.kpis.join(report.refused.select("account_id", "meldung"), "account_id", "left").select(
+        "account_id", "anzahl_settlements", "anzahl_tx", "netto", "offen_brutto",
+        F.array_join("waehrungen", ",").alias("waehrungen"), "meldung",
+    )
+
+
 def _as_lines(block_rows: DataFrame, *scope: str) -> DataFrame:
     return block_rows.select(
         *scope,
@@ -262,6 +273,10 @@ def _reference_queries() -> dict[str, Query]:
         "settlement_export_blocks": _on_tables(
             lambda t: _as_lines(_settlement_blocks(t), "account_id")
         ),
+        "settlement_report_lines": _on_tables(
+            lambda t: csv_sink.report_lines(_settlement_blocks(t), ACCOUNT)
+        ),
+        "settlement_refusals": _on_tables(_refusals),
         "settlement_csv_roundtrip": _settlement_csv,
         # Per-transaction sides
         "tip_per_transaction": _on_tables(lambda t: enrich.tips(t, _tx(t), SPACES)),

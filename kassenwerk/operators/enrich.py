@@ -105,25 +105,25 @@ def settlements(tables: Tables, tx: DataFrame) -> DataFrame:
 
 
 def cards(tables: Tables, tx: DataFrame, spaces: Sequence[int] | None = None) -> DataFrame:
-    """Masked card and authorisation code of the latest charge attempt."""
+    """Masked card and authorisation code of the latest charge attempt.
+
+    The latest attempt is found on ids alone, so that the aggregate can hash; labels are
+    taken from the attempts found only.
+    """
     attempts = tables.chargeattempt
     if spaces is not None:
         attempts = attempts.filter(one_of(F.col("spaceid"), spaces))
-    labels = F.col("labels")
-    found = attempts.select(
-        F.col("id").alias("attempt_id"),
-        "charge_id",
-        F.struct(
-            label_text(labels, MASKED_CARD_LABEL).alias("masked_card"),
-            label_text(labels, AUTH_CODE_LABEL).alias("auth_code"),
-        ).alias("card"),
-    )
-    charges = of_report(tables.charge, tx).withColumnRenamed("id", "charge_id")
-    return (
-        charges.join(found, "charge_id")
+    attempts = attempts.withColumnRenamed("id", "attempt_id")
+    charges = of_report(tables.charge, tx).select(F.col("id").alias("charge_id"), "transaction_id")
+    latest = (
+        charges.join(attempts.select("attempt_id", "charge_id"), "charge_id")
         .groupBy("transaction_id")
-        .agg(F.max_by("card", "attempt_id").alias("card"))
-        .select("transaction_id", "card.masked_card", "card.auth_code")
+        .agg(F.max("attempt_id").alias("attempt_id"))
+    )
+    return latest.join(attempts.select("attempt_id", "labels"), "attempt_id").select(
+        "transaction_id",
+        label_text(F.col("labels"), MASKED_CARD_LABEL).alias("masked_card"),
+        label_text(F.col("labels"), AUTH_CODE_LABEL).alias("auth_code"),
     )
 
 
@@ -210,19 +210,28 @@ def with_brand(tables: Tables, rows: DataFrame) -> DataFrame:
         F.col("name").alias("_configured"),
     )
     pc = tables.paymentconnector.select(F.col("id").alias("connector"), F.col("name").alias("_names"))
+    # The few connectors meet the configurations, not the rows.
+    configured = pcc.join(pc, "connector", "left")
     return (
-        rows.join(pcc, ["paymentconnectorconfiguration_id", "spaceid"], "left")
-        .join(pc, "connector", "left")
+        rows.join(configured, ["paymentconnectorconfiguration_id", "spaceid"], "left")
         .withColumn("brand", brand_name(F.col("_names"), F.col("_configured")))
         .drop("_names", "_configured")
     )
 
 
 def with_terminal(tables: Tables, rows: DataFrame) -> DataFrame:
+    """Add the terminal's identifier and name.
+
+    Sales without a terminal match none. They take their own id as key, which spreads them
+    over all tasks instead of sending them to that of the NULL key.
+    """
     pt = tables.paymentterminal.select(
-        F.col("id").alias("terminal_id"),
-        "spaceid",
+        F.col("id").alias("_terminal"),
+        F.col("spaceid").alias("_space"),
         F.col("identifier").alias("terminal_identifier"),
         F.col("name").alias("terminal_name"),
     )
-    return rows.join(pt, ["terminal_id", "spaceid"], "left")
+    terminal = F.col("terminal_id")
+    key = F.coalesce(terminal, F.xxhash64("id")) if "id" in rows.columns else terminal
+    same = (key == F.col("_terminal")) & (F.col("spaceid") == F.col("_space")) & terminal.isNotNull()
+    return rows.join(pt, same, "left").drop("_terminal", "_space")

@@ -212,10 +212,14 @@ def settlement_export_blocks(
     with_detail: bool = True,
     scope: Sequence[str] = (),
 ) -> DataFrame:
-    """Summary, payment methods, overview and, if wanted, one block per settlement."""
+    """Summary, payment methods, overview and, if wanted, one block per settlement.
+
+    Scopes that the settlement report refuses have no blocks.
+    """
     scope = list(scope)
     report = settle.settlement_report(rows, end, with_detail, scope)
-    days, methods, kpi = report.overview, report.connectors, report.kpis
+    days, methods = report.overview, report.connectors
+    kpi = report.kpis.filter(F.size("waehrungen") <= 1)
     amounts = [plain_amount(F.col(c)) for c in ("brutto", "fees", "netto")]
     amount_types = [AMOUNT, AMOUNT, AMOUNT]
 
@@ -268,7 +272,8 @@ def settlement_export_blocks(
                    [F.concat(F.lit("Subtotal ("), F.col("anzahl_tx"), F.lit(" Tx)")), F.lit(""), F.lit(""),
                     *amounts], detail_types),
         ]
-    return _stack(parts)
+    stacked = _stack(parts)
+    return stacked if scope or report.refused.isEmpty() else stacked.filter(F.lit(False))
 
 
 def cell_types(blocks: DataFrame) -> DataFrame:

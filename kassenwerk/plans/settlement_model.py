@@ -2,8 +2,8 @@
 
 ``rows`` are those of ``settlement_transactions`` (or the CSV source). ``scope`` names
 leading columns, such as ``account_id``, to report on many accounts in one job; every
-result then carries these columns. Amounts of several currencies are never added: a second
-currency within a scope fails the report when it runs.
+result then carries these columns. Amounts of several currencies are never added: a scope
+with a second currency has no amounts and is refused, the other scopes are reported.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def classified(rows: DataFrame, end: str | None, scope: Scope = ()) -> DataFrame
     )
 
 
-def _one_currency(summed: DataFrame, scope: Scope) -> DataFrame:
-    """Fail at run time if a scope holds more than one currency, naming them.
+def _of_currencies(summed: DataFrame, scope: Scope) -> DataFrame:
+    """``summed`` with all currencies of its scope; where there are several, amounts are NULL.
 
     ``summed`` is already aggregated (days or connectors), so the window stays small, and
     collecting distinct currency lists keeps what each row carries small as well.
@@ -68,18 +68,26 @@ def _one_currency(summed: DataFrame, scope: Scope) -> DataFrame:
     everything = F.sort_array(
         F.array_distinct(F.flatten(F.collect_set("waehrungen").over(Window.partitionBy(*scope))))
     )
-    refusal = F.raise_error(
-        F.concat(
-            F.lit("settlement report covers several currencies (Währungen): "),
-            F.array_join("_all", ", "),
-        )
+    one = F.size("waehrungen") <= 1
+    return summed.withColumn("waehrungen", everything).withColumns(
+        {c: F.when(one, F.col(c)) for c in ("brutto", "fees", "netto")}
     )
-    return (
-        summed.withColumn("_all", everything)
-        .filter(F.when(F.size("_all") > 1, refusal.cast("boolean")).otherwise(True))
-        .withColumn("waehrungen", F.col("_all"))
-        .drop("_all")
+
+
+def refusals(sums: DataFrame, scope: Scope = ()) -> DataFrame:
+    """Scopes with more than one currency, which are not reported: the currencies and the message."""
+    listed = sums.groupBy(*scope).agg(F.sort_array(F.collect_set("waehrung")).alias("waehrungen"))
+    message = F.concat(
+        F.lit("settlement report covers several currencies (Währungen): "),
+        F.array_join("waehrungen", ", "),
     )
+    return listed.filter(F.size("waehrungen") > 1).withColumn("meldung", message)
+
+
+def accepted(sums: DataFrame, scope: Scope = ()) -> DataFrame:
+    """The sums of all scopes that are not refused; a scope's sums are bounded by the calendar."""
+    currencies = F.collect_set("waehrung").over(Window.partitionBy(*scope))
+    return sums.withColumn("_all", currencies).filter(F.size("_all") <= 1).drop("_all")
 
 
 def _measures() -> list[Column]:
@@ -115,7 +123,7 @@ def overview(sums: DataFrame, scope: Scope = ()) -> DataFrame:
     # One row per value date: the numbering window is bounded by the calendar.
     by_date = Window.partitionBy(*scope).orderBy(F.col("status") == OPEN, "datum")
     return (
-        _one_currency(days, scope)
+        _of_currencies(days, scope)
         .withColumn("nr", F.row_number().over(by_date))
         .select(*scope, "nr", "datum", "status", "anzahl_tx", "brutto", "fees", "netto", "waehrungen")
         .orderBy(*scope, "nr")
@@ -123,7 +131,9 @@ def overview(sums: DataFrame, scope: Scope = ()) -> DataFrame:
 
 
 def _sum_where(condition: Column, column: str) -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+    """The sum, 0 of no rows; NULL if one of the amounts is, because its scope is refused."""
+    unknown = F.count_if(condition & F.col(column).isNull())
+    return F.when(unknown == 0, F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0)))
 
 
 def kpis(settlements: DataFrame, scope: Scope = ()) -> DataFrame:
@@ -175,7 +185,7 @@ def connectors(sums: DataFrame, scope: Scope = ()) -> DataFrame:
     paid = (
         sums.filter(F.col("status") != OPEN).groupBy(*scope, "connector").agg(*_summed_again())
     )
-    return _one_currency(paid, scope).drop("waehrungen").orderBy(*scope, *by_volume())
+    return _of_currencies(paid, scope).drop("waehrungen").orderBy(*scope, *by_volume())
 
 
 def by_volume() -> list[Column]:
@@ -225,6 +235,7 @@ class SettlementReport:
     pending: DataFrame
     totals: DataFrame
     detail: DataFrame | None
+    refused: DataFrame
 
 
 def settlement_report(
@@ -232,21 +243,28 @@ def settlement_report(
 ) -> SettlementReport:
     """All parts of the report from one pass over ``rows``.
 
-    The rows (with detail), their sums and the overview are written to the shared folder
-    once and every part reads from there, so a second currency is refused right here.
+    The classified rows (with detail), their sums and the overview are written to the shared
+    folder once and every part reads from there. A scope with a second currency is left
+    out of all parts and stands in ``refused``; only the key figures name it, with its
+    counts and currencies and without amounts.
     """
     marked = classified(rows, end, scope)
     if with_detail:
-        marked = numbered_rows(marked, scope)
-    sums = written(cube(marked, scope), "settlement-sums")
+        marked = written(marked, "settlement-rows")
+    every = written(cube(marked, scope), "settlement-sums")
+    refused, sums = refusals(every, scope), accepted(every, scope)
     days = written(overview(sums, scope), "settlement-days").orderBy(*scope, "nr")
     methods = connectors(sums, scope)
+    # Without a scope, an aggregate over nothing would still give a row.
+    shut = not scope and not refused.isEmpty()
+    kept = lambda df: df.filter(F.lit(not shut))
     return SettlementReport(
         overview=days,
-        kpis=kpis(days, scope),
+        kpis=kpis(overview(every, scope), scope),
         connectors=methods,
-        connector_total=totals(methods, scope),
-        pending=pending(days, scope),
-        totals=totals(days, scope),
-        detail=detail(marked, days, scope) if with_detail else None,
+        connector_total=kept(totals(methods, scope)),
+        pending=kept(pending(days, scope)),
+        totals=kept(totals(days, scope)),
+        detail=detail(numbered_rows(marked, scope), days, scope) if with_detail else None,
+        refused=refused,
     )

@@ -14,6 +14,8 @@ BOM = "\ufeff"
 SEPARATOR = ";"
 LINE_END = "\r\n"
 
+BLOCK_COLUMNS = ("block_no", "block", "row_no", "kind", "cells", "types", "note", "alignment")
+
 
 def write_result_csv(df: DataFrame, path: str) -> None:
     """Raw result as comma-separated files with a header, one file per task."""
@@ -53,10 +55,18 @@ def report_lines(blocks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def write_report_csv(blocks: DataFrame, path: str) -> None:
+def write_report_csv(blocks: DataFrame, path: str, scope: Sequence[str] = ()) -> None:
     """Sorted text files whose concatenation in name order is the report file.
 
     A report without detail is small and ends up as one file; a detailed one stays spread
-    over many tasks.
+    over many tasks. ``scope`` names the columns by which the blocks are split: each of their
+    values has a report file in a folder of its own. Blocks split by others are refused.
     """
-    report_lines(blocks).select("line").write.option("lineSep", LINE_END).text(path)
+    other = [
+        c for c in blocks.columns
+        if c not in (*BLOCK_COLUMNS, *scope) and not c.startswith("sort_")
+    ]
+    if other:
+        raise ValueError(f"the blocks are split by {', '.join(other)}; name these columns as scope")
+    writer = report_lines(blocks, scope).select(*scope, "line").write.option("lineSep", LINE_END)
+    (writer.partitionBy(*scope) if scope else writer).text(path)

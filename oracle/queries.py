@@ -184,6 +184,7 @@ _SUMMARY = ",\n".join(
         (8, "Noch nicht abgerechnet (Brutto)", _plain("offen_brutto"), "betrag", "offen_anzahl_tx > 0"),
     ]
 )
+# Block titles, headers and sentences of the export.
 SETTLEMENT_BLOCKS = f"""
 SELECT account_id, 1 AS block_no, 'Zusammenfassung' AS block, 0 AS row_no, 'header' AS kind, 'Kennzahl;Wert' AS cells,
        'text;text' AS types, '' AS note FROM averaged
@@ -230,6 +231,23 @@ UNION ALL
 SELECT account_id, nr + 3, {_NAMED}, anzahl_tx + 1, 'total',
        concat_ws(';', 'Subtotal (' || anzahl_tx || ' Tx)', '', '', {_AMOUNTS}), 'text;text;text;{_B3}', ''
 FROM overview"""
+SETTLEMENT_LINES = """
+SELECT account_id, block_no, row_no, 0 AS line_no, cells AS line FROM settlement_blocks WHERE row_no <> 0
+UNION ALL
+SELECT account_id, block_no, row_no, unnest(range(0, len(lines))) AS line_no, unnest(lines) AS line
+FROM (SELECT *, CASE WHEN block_no = 1 THEN [chr(65279) || block] ELSE ['', block] END
+                || CASE WHEN note LIKE '%;%' THEN ['"' || note || '"'] WHEN note <> '' THEN [note] ELSE CAST([] AS VARCHAR[]) END
+                || [cells] AS lines FROM settlement_blocks WHERE row_no = 0)"""
+REFUSALS = """
+SELECT account_id, count(DISTINCT datum) FILTER (WHERE status <> 'Offen') AS anzahl_settlements,
+       count(*) FILTER (WHERE status <> 'Offen') AS anzahl_tx,
+       CASE WHEN count(DISTINCT w) = 1 THEN coalesce(sum(netto) FILTER (WHERE status <> 'Offen'), 0) END AS netto,
+       CASE WHEN count(DISTINCT w) = 1 THEN coalesce(sum(brutto) FILTER (WHERE status = 'Offen'), 0) END AS offen_brutto,
+       string_agg(DISTINCT w, ',' ORDER BY w) AS waehrungen,
+       CASE WHEN count(DISTINCT w) > 1 THEN 'settlement report covers several currencies (Währungen): '
+            || string_agg(DISTINCT w, ', ' ORDER BY w) END AS meldung
+FROM (SELECT *, CASE WHEN account_id % 2 = 1 AND transaction_id % 10 = 0 THEN 'USD' ELSE waehrung END AS w
+      FROM classified) GROUP BY 1"""
 DETAIL = """
 SELECT c.*, o.nr, row_number() OVER (PARTITION BY c.account_id, c.status, c.datum ORDER BY c.transaction_id) AS tx_nr
 FROM classified c JOIN overview o
@@ -389,6 +407,8 @@ FROM classified GROUP BY 1""", **MODEL),
         """SELECT account_id, nr AS settlement_nr, CAST(datum AS VARCHAR) AS datum, status, tx_nr AS nr, transaction_id,
        connector, brutto, fees, netto FROM detail""", **MODEL, detail=DETAIL),
     "settlement_export_blocks": with_tables(SETTLEMENT_BLOCKS, **MODEL, detail=DETAIL),
+    "settlement_report_lines": with_tables(SETTLEMENT_LINES, **MODEL, detail=DETAIL, settlement_blocks=SETTLEMENT_BLOCKS),
+    "settlement_refusals": with_tables(REFUSALS, **MODEL),
     "tip_per_transaction": with_tables(TIP, tx=TX),
     "card_per_transaction": with_tables(CARD, tx=TX),
     "settlement_per_transaction": with_tables(SETTLE, tx=TX, bank=BANK),
