@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from kassenwerk.llm.texts import WordHashes, mix, pair_hash, runs, utf8
@@ -171,14 +171,21 @@ def _confirmed(share: int):
     return run
 
 
+def counted(df: DataFrame, label: str, *more: Column) -> tuple[DataFrame, Row]:
+    """``df`` written, with its row count ``n`` and further totals seen while it was written."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *more), label)
+    return table, Row(**seen.get)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``rep`` and ``component`` (smallest member) of all that is linked by rows (a, b).
 
     Alternating star contraction: every node is hung below the smallest of its larger, then of its
     smaller neighbours, until nothing changes. Each round is written, so that a lost executor
-    costs one round.
+    costs one round, and says by its own count and hash whether it changed anything.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -186,8 +193,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        edges, now = counted(small, "edges", F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("hash"))
         if before == now:
             break
         before = now
@@ -195,6 +201,10 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("rep"), F.col("v").alias("component"))).distinct()
 
 
+def _as_links(linked: DataFrame) -> DataFrame:
+    return linked.select(F.col("rep").alias("a"), F.col("component").alias("b"))
+
+
 class _Search:
     """The rounds over one table; written tables hold what later rounds read again."""
 
@@ -216,31 +226,34 @@ class _Search:
         self.registers = written(reps.join(self.members.select("rep").distinct(), "rep", "left_semi"), "registers")
         self.shingles: list[DataFrame] = []
 
-    def _likely(self, pairs: DataFrame) -> DataFrame:
+    def _likely(self, pairs: DataFrame) -> tuple[DataFrame, Row]:
         a = self.registers.select(F.col("rep").alias("a"), F.col("registers").alias("ra"))
         b = self.registers.select(F.col("rep").alias("b"), F.col("registers").alias("rb"))
-        return written(pairs.join(a, "a").join(b, "b").mapInArrow(_likely, "a long, b long").distinct(), "likely")
+        return counted(pairs.join(a, "a").join(b, "b").mapInArrow(_likely, "a long, b long").distinct(), "likely")
 
     def _shingles(self, likely: DataFrame) -> DataFrame:
         """The sets of all that ``likely`` names; texts are read for those not met before."""
         ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         for known in self.shingles:
             ids = ids.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
-        wanted = self.texts.join(written(ids, "ids"), "doc_id", "left_semi").mapInArrow(_sets(self.size), "rep long, shingles binary")
+        wanted = self.texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.size), "rep long, shingles binary")
         self.shingles.append(written(wanted, "shingles"))
         every = self.shingles[0]
         for more in self.shingles[1:]:
             every = every.unionByName(more)
         return every
 
-    def confirmed(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs that were looked at, and those of them that are links."""
-        likely = self._likely(pairs)
+    def confirmed(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The pairs that are links, and their number."""
+        likely, total = self._likely(pairs)
+        if not total.n:
+            return likely, 0
         found = self._shingles(likely)
         a = found.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
         b = found.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
         links = likely.join(a, "a").join(b, "b").mapInArrow(_confirmed(self.share), "a long, b long")
-        return pairs, written(links.distinct(), "links")
+        links, total = counted(links.distinct(), "links")
+        return links, total.n
 
     def _open(self, linked: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
@@ -252,54 +265,64 @@ class _Search:
         apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
         return placed.join(apart.select("bucket"), "bucket", "left_semi")
 
-    def links(self) -> DataFrame:
+    def linked(self) -> DataFrame:
+        """``rep`` and ``component`` of every class that has links."""
         pairs = self.members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        seen, found = self.confirmed(written(pairs, "pairs"))
-        found = written(found.unionByName(self.same_id), "links")
+        seen = written(pairs, "pairs")
+        found, _ = self.confirmed(seen)
+        found = found.unionByName(self.same_id)
+        linked = components(found)
+        members, total = counted(self._open(linked), "open")
         for _ in range(STAR_ROUNDS - 1):
-            linked = components(found)
+            if not total.n:
+                return linked
             degree = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-            members = self._open(linked).join(degree, "rep", "left").fillna(0, ["degree"])
-            best = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("back"), "component")).alias("best"))
+            ranked = members.join(degree, "rep", "left").fillna(0, ["degree"])
+            best = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("back"), "component")).alias("best"))
             star = members.join(best, "bucket").filter("component != best.component")
             star = star.select(F.least("rep", -F.col("best.back")).alias("a"), F.greatest("rep", -F.col("best.back")).alias("b"))
-            star = written(star.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-            if star.isEmpty():
+            star, total_star = counted(star.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+            if not total_star.n:
                 break
-            _, more = self.confirmed(star)
+            more, n = self.confirmed(star)
             seen = seen.unionByName(star)
-            if more.isEmpty():
+            if not n:
                 break
-            found = written(found.unionByName(more), "links")
-        return self._across(found, seen)
-
-    def _across(self, found: DataFrame, seen: DataFrame) -> DataFrame:
+            found = found.unionByName(more)
+            linked = components(_as_links(linked).unionByName(more))
+            members, total = counted(self._open(linked), "open")
+        if not total.n:
+            return linked
+        pairs, total = counted(self._across(members).join(seen, ["a", "b"], "left_anti"), "pairs")
+        if not total.n:
+            return linked
+        more, n = self.confirmed(pairs)
+        return components(_as_links(linked).unionByName(more)) if n else linked
+
+    def _across(self, members: DataFrame) -> DataFrame:
         """All pairs of different components that a bucket still holds."""
-        members = written(self._open(components(found)), "open")
         pairs = None
         for depth in range(3):
-            if members.isEmpty():
-                break
             sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
             major = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
-            told = members.join(major, "bucket").withColumn("minor", F.col("component") != F.col("most.component"))
             few = (F.col("all") - F.col("most.n") <= FEW) if depth < 2 else F.lit(True)
-            now = told.filter(few)
+            told = members.join(major, "bucket").select(
+                "bucket", "rep", "component", (F.col("component") != F.col("most.component")).alias("minor"), few.alias("few")
+            )
+            told, total = counted(told, "told", F.count_if(~F.col("few")).alias("many"))
+            now = told.filter("few")
             minor = now.filter("minor").select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
             other = now.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy"))
             met = minor.join(other, "bucket").filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             pairs = met if pairs is None else pairs.unionByName(met)
-            finer = told.filter(~few).select("bucket", "rep", "component").join(self.registers, "rep")
+            if not total.many:
+                break
+            finer = told.filter("NOT few").select("bucket", "rep", "component").join(self.registers, "rep")
             members = written(self._several(finer.mapInArrow(_finer, "bucket long, rep long, component long").distinct()), "open")
-        if pairs is None:
-            return found
-        pairs = written(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return found
-        return found.unionByName(self.confirmed(pairs)[1])
+        return pairs.distinct()
 
     def result(self) -> DataFrame:
-        linked = components(self.links())
+        linked = self.linked()
         labelled = self.classes.join(linked, "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"))
         return self.profiles.join(labelled, ["high", "low"], "left").select(
             "doc_id",
