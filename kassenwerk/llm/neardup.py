@@ -3,7 +3,7 @@
 A document is its set of word shingles. The shingles' hashes fall into ``REGISTERS`` bins, and a register
 keeps its bin's smallest hash as a count of leading zeros and ten mantissa bits. Equal sets
 become one class first, so a group of exact copies counts once. Bands of ``ROWS``
-registers put classes into buckets. Candidates pass an estimate from their registers, corrected for registers that
+registers put classes into buckets; there empty registers borrow from filled ones. Candidates pass an estimate from their registers, corrected for registers that
 agree by chance, and are then confirmed on their full sets.
 
 No bucket is paired with itself. In a first round every class of a bucket meets the
@@ -112,9 +112,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+def _orders() -> np.ndarray:
+    """For each bin, all bins in an order of its own: column i is where bin i looks."""
+    bins = np.arange(REGISTERS, dtype=np.uint64)
+    return np.argsort(pair_hash(bins[:, None], bins[None, :]), axis=0)
+
+
+_ORDERS = _orders()
+
+
+def _filled(m: np.ndarray) -> np.ndarray:
+    """Registers with the empty ones filled: an empty bin takes the value of the first filled bin of its order.
+
+    Without this a short text's band would hold one or two values and lie in a bucket with every
+    text that has the same frequent words. So registers of two texts agree as often as their
+    sets are similar, however short they are. Texts without any shingle stay empty.
+    """
+    out = m.copy()
+    row, at = np.nonzero((m == 0) & m.any(1)[:, None])
+    for turn in range(REGISTERS):
+        if not len(row):
+            break
+        value = m[row, _ORDERS[turn, at]]
+        hit = value > 0
+        out[row[hit], at[hit]] = value[hit]
+        row, at = row[~hit], at[~hit]
+    return out
+
+
 def _band_keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash per row and band, and whether the band has a register that is not empty."""
-    x = m[:, : BANDS * ROWS].reshape(len(m), BANDS, ROWS).astype(np.uint64)
+    x = _filled(m)[:, : BANDS * ROWS].reshape(len(m), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), x.shape[:2])
     for i in range(ROWS):
         key = pair_hash(key, x[:, :, i])
