@@ -2,8 +2,13 @@
 
 Tokens are summed per cell of (source, language, topic). Iterative proportional fitting
 scales the cells' weights until their sums match the target shares of every source, language and topic. A
-document stays with a probability in proportion to weight per token of its cell, cut at 1;
-the common scale is set so that the expected tokens are the wished share of all.
+document stays with a probability in proportion to weight per token of its cell.
+
+No cell can give more tokens than it has. Where the wished share of all tokens asks for that,
+the cells are raked again within their own tokens; where no weights within them have
+the target shares, the targets come first and fewer tokens are kept than wished, about as many
+as the targets allow. A warning then gives the figures, and ``report`` compares wanted,
+expected and drawn shares.
 
 Nulls form a source, language or topic of their own. Documents without a word weigh one
 token, so that they can be drawn too. Equal ids get equal draws: repeated rows stay or go
@@ -13,6 +18,9 @@ carried along untouched.
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +31,9 @@ MARGINS = ("source", "lang", "topic")
 TEMPER = 0.7
 KEEP_TOKENS = 0.8
 TOLERANCE = 1e-4
-SWEEPS, MOST_SWEEPS = 4, 40
+SWEEPS, MOST_SWEEPS, BOUNDED_SWEEPS = 4, 40, 24
+STEP, TRIES = 0.02, 6  # how near the kept share comes to the most that the targets allow
+_LOG = logging.getLogger(__name__)
 
 
 def word_count(text: Column) -> Column:
@@ -64,6 +74,34 @@ def targets(cells: DataFrame, margin: str, temper: float = TEMPER) -> DataFrame:
     return sums.select(f"_{margin}", (power / F.lit(whole)).alias(f"_{margin}_share"))
 
 
+def _gaps(raked: DataFrame, wanted: dict[str, DataFrame]) -> float:
+    """The largest distance of a margin's weight from its wanted share."""
+    gaps = raked.select(
+        *[F.abs(F.sum("_weight").over(Window.partitionBy(f"_{m}")) - F.col(f"_{m}_share")).alias(m) for m in wanted]
+    )
+    return gaps.agg(F.max(F.greatest(*wanted)).alias("gap")).first()["gap"] or 0.0
+
+
+def _swept(now: DataFrame, wanted: dict[str, DataFrame], tolerance: float, most: int, bound: Column | None = None) -> tuple[DataFrame, float]:
+    """Sweeps from ``_pull`` on; ``_weight`` is the pull, cut at ``bound``. Also the gap that is left."""
+    cut = lambda: F.col("_pull") if bound is None else F.least(F.col("_pull"), bound)
+    gap = 0.0
+    for _ in range(0, most, SWEEPS):
+        for _ in range(SWEEPS):
+            for m in wanted:
+                present = F.sum(cut()).over(Window.partitionBy(f"_{m}"))
+                now = now.withColumn(
+                    "_pull", F.coalesce(F.try_divide(F.col("_pull") * F.col(f"_{m}_share"), present), F.lit(0.0))
+                )
+        # One task: cells grow with the names of the margins, not with the rows, and
+        # sweeps over them need no shuffle then.
+        now = written(now.withColumn("_weight", cut()), "raked").coalesce(1)
+        gap = _gaps(now, wanted)
+        if gap <= tolerance:
+            break
+    return now, gap
+
+
 def rake(cells: DataFrame, wanted: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with ``_weight``, whose sums are the wanted shares up to ``tolerance``.
 
@@ -71,46 +109,69 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame], tolerance: float = TOLE
     one, margin by margin. Sweeps stop at the tolerance, or after ``MOST_SWEEPS`` where
     empty cells make the margins contradict each other.
     """
-    now = cells.withColumn("_weight", F.col("_tokens").cast("double"))
+    return _swept(_started(cells, wanted), wanted, tolerance, MOST_SWEEPS)[0]
+
+
+def _started(cells: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
+    now = cells.withColumn("_pull", F.col("_tokens").cast("double"))
     for margin, shares in wanted.items():
         now = now.join(shares, f"_{margin}", "left")
-    now = now.fillna(0.0, [f"_{m}_share" for m in wanted])
-    for _ in range(0, MOST_SWEEPS, SWEEPS):
-        for _ in range(SWEEPS):
-            for m in wanted:
-                present = F.sum("_weight").over(Window.partitionBy(f"_{m}"))
-                now = now.withColumn(
-                    "_weight", F.coalesce(F.try_divide(F.col("_weight") * F.col(f"_{m}_share"), present), F.lit(0.0))
-                )
-        now = written(now, "raked")
-        gaps = now.select(
-            *[F.abs(F.sum("_weight").over(Window.partitionBy(f"_{m}")) - F.col(f"_{m}_share")).alias(m) for m in wanted]
+    return now.fillna(0.0, [f"_{m}_share" for m in wanted]).coalesce(1)
+
+
+def most_keep(cells: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
+    """Per margin and value its shares in the table and as wanted, and the largest kept share of all tokens
+    at which its own tokens suffice (``most_keep``)."""
+    parts = []
+    for m, shares in wanted.items():
+        own = cells.groupBy(f"_{m}").agg(F.sum("_tokens").cast("double").alias("_own"))
+        whole = F.sum("_own").over(Window.partitionBy())
+        parts.append(
+            own.withColumn("table_share", F.try_divide(F.col("_own"), whole))
+            .join(shares, f"_{m}", "full")
+            .select(
+                F.lit(m).alias("margin"),
+                F.col(f"_{m}").alias("value"),
+                F.coalesce("table_share", F.lit(0.0)).alias("table_share"),
+                F.coalesce(f"_{m}_share", F.lit(0.0)).alias("wanted_share"),
+            )
         )
-        worst = gaps.agg(F.max(F.greatest(*wanted)).alias("gap")).first()["gap"]
-        if worst is None or worst <= tolerance:
-            break
-    return now
+    return reduce(DataFrame.unionByName, parts).withColumn(
+        "most_keep", F.least(F.lit(1.0), F.coalesce(F.try_divide("table_share", "wanted_share"), F.lit(1.0)))
+    )
 
 
-def scale_for(cells: DataFrame, keep: float) -> float:
-    """The factor by which the cells' rates, cut at 1, keep that share of all tokens.
+def rake_to_draw(cells: DataFrame, wanted: dict[str, DataFrame], keep: float) -> tuple[DataFrame, float]:
+    """Cells with ``_weight``, and the share of all tokens that draws can keep at these weights.
 
-    Each pass asks for 32 factors at once in one aggregate and narrows the interval.
+    No cell can give more tokens than it has. Where the plainly raked weights ask for more at
+    the wished ``keep``, cells are raked again, bounded by their own tokens, what is cut going
+    to the other cells of the margin. Where no such weights have the wanted shares, the shares
+    come first: less is kept, within ``STEP`` of the most or of a bisection's last step.
     """
-    low, high = 0.0, None
-    top = cells.agg(F.max(F.try_divide(F.lit(1.0), F.col("_rate"))).alias("x")).first()["x"]
-    if top is None:
-        return 1.0
-    high = top
-    for _ in range(6):
-        steps = [low + (high - low) * k / 31 for k in range(32)]
-        sums = cells.agg(
-            F.sum("_tokens").cast("double").alias("all"),
-            *[F.sum(F.col("_tokens") * F.least(F.lit(1.0), F.col("_rate") * F.lit(s))).alias(f"s{k}") for k, s in enumerate(steps)],
-        ).first()
-        over = next((k for k in range(32) if (sums[f"s{k}"] or 0.0) >= keep * sums["all"]), 31)
-        low, high = steps[max(0, over - 1)], steps[over]
-    return high
+    tokens = cells.agg(F.sum("_tokens").alias("n")).first()["n"] or 0
+    now, gap = _swept(_started(cells, wanted), wanted, TOLERANCE, MOST_SWEEPS)
+    share = F.col("_tokens") / F.lit(float(tokens or 1))
+    sums = now.agg(F.sum("_weight").alias("all"), F.max(F.try_divide(F.col("_weight"), share)).alias("top")).first()
+    low = min(sums["all"] / sums["top"], keep) if sums["top"] else keep
+    if low >= keep:
+        return now, keep
+    # Names without a token cannot be reached at any rate; the gap left above tells of them.
+    limit = most_keep(cells, wanted).filter("table_share > 0").agg(F.min("most_keep").alias("x")).first()["x"]
+    high = min(keep, limit)
+    bounded = high if limit >= keep else high * (1 - STEP)
+    for _ in range(TRIES):
+        if bounded <= low:
+            break
+        found, left = _swept(now, wanted, TOLERANCE, BOUNDED_SWEEPS, share * F.lit(sums["all"] / bounded))
+        if left <= max(TOLERANCE, 1.01 * gap):
+            now, low = found, bounded
+            if bounded >= high * (1 - STEP):
+                break
+        else:
+            high = bounded
+        bounded = (low * high) ** 0.5
+    return now, low
 
 
 def mix(
@@ -129,11 +190,13 @@ def mix(
     keys = [f"_{m}" for m in MARGINS]
     cells = written(told.groupBy(*keys).agg(F.sum("_tokens").alias("_tokens")), "cells")
     wanted = {m: (wanted or {}).get(m) or targets(cells, m) for m in MARGINS}
-    raked = rake(cells, wanted).withColumn("_rate", F.col("_weight") / F.col("_tokens"))
-    rated = written(raked.select(*keys, "_tokens", "_weight", "_rate"), "rates")
-    scale = scale_for(rated, keep)
+    raked, reached = rake_to_draw(cells, wanted, keep)
+    if reached < keep:
+        _LOG.warning("The wanted shares allow %.4f of the tokens to be kept, not %.4f", reached, keep)
+    sums = raked.agg(F.sum("_weight").alias("w"), F.sum("_tokens").cast("double").alias("t")).first()
+    scale = reached * (sums["t"] or 0.0) / (sums["w"] or 1.0)
     # Read from files of known size: Catalyst broadcasts the cells where they are small.
-    rates = rated.select(*keys, "_weight", "_rate")
+    rates = written(raked.select(*keys, "_weight", (F.col("_weight") / F.col("_tokens")).alias("_rate")), "rates")
     whole = 1 << 53
     draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("_id"), F.lit(0).cast("long"))), F.lit(whole))
     results = {
@@ -146,3 +209,36 @@ def mix(
     return told.join(rates, keys, "left").select(
         *[F.col(f"_row.`{c}`") for c in df.columns if c not in results], *[v.alias(k) for k, v in results.items()]
     )
+
+
+def report(mixed: DataFrame, wanted: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What a result of ``mix`` makes of the wanted shares, per margin and value.
+
+    ``expected_share`` and ``drawn_share`` are shares of the kept tokens, by probability and as
+    drawn; ``kept_share`` is the expected part of all tokens. A wished kept share above
+    ``most_keep`` contradicts that value's wanted share.
+    """
+    names = dict(source=F.col("source"), lang=F.col("lang"), topic=F.col("mix_topic"))
+    told = mixed.select(*[F.coalesce(c, F.lit("")).alias(f"_{m}") for m, c in names.items()], F.col("mix_tokens").alias("_tokens"), "p_keep", "kept")
+    cells = written(
+        told.groupBy(*[f"_{m}" for m in MARGINS]).agg(
+            F.sum("_tokens").alias("_tokens"),
+            F.sum(F.col("_tokens") * F.col("p_keep")).alias("_expected"),
+            F.sum(F.when(F.col("kept"), F.col("_tokens")).otherwise(0)).cast("double").alias("_drawn"),
+        ),
+        "drawn",
+    )
+    wanted = {m: (wanted or {}).get(m) or targets(cells, m) for m in MARGINS}
+    whole = cells.agg(*[F.sum(c).alias(c) for c in ("_tokens", "_expected", "_drawn")]).first()
+    part = lambda c: F.try_divide(F.coalesce(F.sum(c), F.lit(0.0)), F.lit(float(whole[c] or 0.0)))
+    got = reduce(
+        DataFrame.unionByName,
+        [
+            cells.groupBy(F.lit(m).alias("margin"), F.col(f"_{m}").alias("value")).agg(
+                part("_expected").alias("expected_share"), part("_drawn").alias("drawn_share")
+            )
+            for m in MARGINS
+        ],
+    )
+    kept = (whole["_expected"] or 0.0) / (whole["_tokens"] or 1)
+    return most_keep(cells, wanted).join(got, ["margin", "value"], "left").withColumn("kept_share", F.lit(kept))

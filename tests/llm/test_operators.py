@@ -8,6 +8,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kassenwerk.llm import fingerprints, langid, lm, mixing, neardup, packing, pii, quality, toxicity, warc
@@ -196,6 +197,30 @@ def test_mixing_meets_its_margins(spark, docs):
         assert sum(r._weight for r in raked if r[key] == value) == pytest.approx(want, abs=1e-3)
 
 
+def test_mixing_draws_reach_the_wanted_shares(spark):
+    """Short notes are too few for their tempered share of 80 % of the tokens."""
+    sizes = [(s, g, t, n * m * k) for s, n in (("a", 4), ("b", 2)) for g, m in (("en", 4), ("de", 1)) for t, k in (("article", 40), ("list", 5), ("note", 1))]
+    rows = [(i * 1000 + k, "w " * 10, s, g, t) for i, (s, g, t, n) in enumerate(sizes) for k in range(n)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string").coalesce(2)
+    mixed = mixing.mix(table)
+    told = {(r.margin, r.value): r for r in mixing.report(mixed).collect()}
+    whole = sum(n for *_, n in sizes)
+    for k, m in enumerate(mixing.MARGINS):
+        own = Counter()
+        for size in sizes:
+            own[size[k]] += size[3]
+        power = {v: n**0.7 for v, n in own.items()}
+        for v, n in own.items():
+            r = told[m, v]
+            assert r.table_share == pytest.approx(n / whole) and r.wanted_share == pytest.approx(power[v] / sum(power.values()))
+            assert r.expected_share == pytest.approx(r.wanted_share, abs=2e-3) and abs(r.drawn_share - r.wanted_share) < 0.05
+    most = min(r.most_keep for r in told.values())
+    assert most < mixing.KEEP_TOKENS and 0.9 * most <= told["topic", "note"].kept_share <= most
+    # Targets that the table has tokens for leave the wished share as it is.
+    own = {m: mixing.targets(table.groupBy(F.col(m).alias(f"_{m}")).agg((F.count("*") * 10).alias("_tokens")), m, 1.0) for m in mixing.MARGINS}
+    assert mixing.report(mixing.mix(table, own), own).first().kept_share == pytest.approx(0.8, abs=1e-3)
+
+
 def test_warc_round_trip(spark, monkeypatch):
     ship_package(spark)
     trap = "<p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n</p>"
