@@ -53,6 +53,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.MOST:
@@ -78,6 +79,12 @@ class WordIds(dict):
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def encoded(self, text: str) -> bytes:
+        """As the tokenizer encodes a text: one that spells out an added token has its single id there."""
+        if any(token in text for token in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.of(text)
+
 
 _WORDS: dict[str, WordIds] = {}  # one for each worker process, for all its tasks
 
@@ -92,7 +99,7 @@ def _tokenized(path: str, capacity: int, with_ids: bool):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.of(text.as_py() or "") + end
+                ids = words.encoded(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     row = (doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece)

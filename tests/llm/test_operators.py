@@ -157,6 +157,18 @@ def test_packing_round_trip(docs):
     assert np.frombuffer(whole, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_packing_of_spelt_out_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["x<|endoftext|>y", "<|startoftext|> a  b<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> c", "plain"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pack(table, with_ids=True).collect():
+        want = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*want, 0] and r.length == len(want) + 1
+
+
 def test_plan_is_best_fit():
     runs = packing.plan({7: 3, 3: 5, 2: 2, 10: 1}, 10)
     assert sorted(runs[:, 2].tolist()) and runs[:, 2].sum() == 11
