@@ -49,7 +49,6 @@ class Rule:
 BASE_RULES = (Rule("n_words", "<", 50), Rule("repeat_word_percent", ">", 50))
 RULES = (
     *BASE_RULES,
-    Rule("n_words", ">", 1_000_000),
     Rule("mean_word_chars", "<", 2),
     Rule("mean_word_chars", ">", 20),
     Rule("symbols_per_word", ">", 0.1),

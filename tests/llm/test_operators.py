@@ -57,6 +57,12 @@ def test_quality_counts_by_hand(spark):
     assert row.n_repeat_words == len(hit) and row.base_failed and not row.kept
 
 
+def test_quality_keeps_clean_texts_of_any_length(spark):
+    long = " ".join(f"the word{i}" for i in range(500_010))
+    row = quality.judge(spark.createDataFrame([(1, long)], "doc_id long, text string")).drop("text").first()
+    assert row.n_words == 1_000_020 and row.kept and row.broken_rules == []
+
+
 def test_pii_spans_and_redaction(docs):
     found = {r.doc_id: r for r in pii.find(docs.select("doc_id", "text")).collect()}
     row = found[25]
