@@ -297,15 +297,15 @@ def _joined(spark: SparkSession, path: str, index: DataFrame, cut: DataFrame) ->
             "file",
             F.col("_owner").alias("_place"),
             F.size("_c").cast("long").alias("pieces"),
+            # The first piece ends in the payload, so it holds the whole header, however long.
+            (F.expr("instr(decode(_c[0].chunk, 'ISO-8859-1'), '\\r\\n\\r\\n')") + 3).alias("_head"),
             F.expr(f"aggregate(slice(_c, 2, size(_c)), _c[0].chunk, (s, x) -> concat(s, encode({_quoted(_separator())}, 'UTF-8'), x.chunk))").alias("_all"),
         )
     )
-    head = F.expr("instr(decode(substring(_all, 1, 65536), 'ISO-8859-1'), '\\r\\n\\r\\n')") + 3
     rest = cut.drop("pieces", "body_bytes", "body_digest")
     body = F.expr("substring(_all, CAST(body_at + 1 AS INT), CAST(length - (body_at - _head) AS INT))")
     return (
         rest.join(whole, ["file", "_place"])
-        .withColumn("_head", head)
         .withColumn("_body", body)
         .withColumn("body_bytes", F.octet_length("_body").cast("long"))
         .withColumn("body_digest", base32_sha1(F.col("_body")))

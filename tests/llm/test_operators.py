@@ -261,6 +261,16 @@ def test_warc_round_trip(spark, monkeypatch):
             assert r.verified in (True, None)
 
 
+def test_warc_header_longer_than_any_prefix(spark):
+    ship_package(spark)
+    trap = "<p>\nWARC/1.1\r\n</p>"
+    pages = [(1, "u" * 70_000, trap), (2, "u2", trap)]
+    path = scratch_path(spark, "test-warc")
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    rows = warc.read_pages(spark, path).collect()
+    assert len(rows) == 2 and all(r.payload_bytes == len(trap) and r.verified in (True, None) for r in rows)
+
+
 def test_pipeline_stages_keep_the_columns_of_documents(spark, docs):
     table, names = docs, ["doc_id", "text", "lang", "source", "n_chars"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
