@@ -7,9 +7,10 @@ but do not end it. The kernel is divided by norms that depend on length alone.
 
 Nyström landmarks are words that stand out in toxic sentences, plus common ones. The machine
 learns on their features by sub-gradient descent. A label is known for a text only, so
-a toxic text is represented by the words whose odds to stand in one are most surely raised,
-in the next rounds also by the one of them that scores highest. The other texts give
-all their words, and in the next rounds again those that scored high. Because the kernel is an explicit sum over triples, the learnt function folds into
+each toxic text deals one label out among all its words, first by their odds to stand in a toxic
+text, in the next rounds by their value. Of the other texts' words it learns on a
+sample, and in the next rounds on all that lie within the margin; the others have no pull.
+Words are judged, not sentences: an insult made of several harmless words is not learnt. Because the kernel is an explicit sum over triples, the learnt function folds into
 one weight per triple, with which tasks score each distinct word once. A text's score is
 the calibrated probability of its largest word score.
 
@@ -39,8 +40,8 @@ LANDMARKS, COMMON = 48, 16
 DECAY, SPAN, WIDTH = 0.5, 7, 16
 LEAST = 0.7
 LETTERS = 32
-NEAR = 0.5  # how much less sure than a text's surest word a witness may be
-SURE = 0.5  # least lower bound of log odds of a first witness
+ROUNDS, LEAST_DEALT = 4, 1e-3  # parts of a label below LEAST_DEALT in all teach nothing measurable
+SHARP = 3.0  # how much a toxic text's label goes to its words of highest value
 SLICE = 2_000_000
 _SENTENCE = re.compile(r"[.!?\n]+")
 _SPACED = re.compile(r" \S \S ")
@@ -132,8 +133,8 @@ def _triples(words: list[str]) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+    def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float, floor: float = 0.0):
+        self.weights, self.bias, self.slope, self.shift, self.floor = weights, bias, slope, shift, floor
 
     def words(self, words: list[str]) -> np.ndarray:
         """The decision value of each word: that of its most toxic window."""
@@ -146,16 +147,17 @@ class Model:
         return out + self.bias
 
     def probability(self, value: float) -> float:
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * value + self.shift))))
+        told = 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * value + self.shift))))
+        return self.floor + (1 - self.floor) * told
 
 
 NEUTRAL = Model(np.zeros(LETTERS**3), 0.0, 0.0, -50.0)
 
 
-def _svm(features: np.ndarray, labels: np.ndarray, rng, epochs: int = 30, regular: float = 1e-4) -> np.ndarray:
-    """Weights and bias of a linear machine with the hinge loss; both classes weigh the same."""
+def _svm(features: np.ndarray, labels: np.ndarray, share: np.ndarray, rng, epochs: int = 30, regular: float = 1e-4) -> np.ndarray:
+    """Weights and bias of a linear machine with the hinge loss; both classes weigh the same, an example by its ``share`` of its class."""
     x = np.hstack([features, np.ones((len(features), 1))])
-    weigh = np.where(labels > 0, len(labels) / 2 / max(1, (labels > 0).sum()), len(labels) / 2 / max(1, (labels < 0).sum()))
+    weigh = np.where(labels > 0, share / share[labels > 0].sum(), share / share[labels < 0].sum()) * len(labels) / 2
     w, mean, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
     for epoch in range(epochs):
         for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 256)):
@@ -191,7 +193,7 @@ def _learn(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 11) ->
         found = _triples(ranked)
         like = found.T @ found
         for i in range(len(ranked)):
-            if odds[ranked[i]] > SURE and like[i, i] > 0 and all(like[i, j] < 0.8 * math.sqrt(like[i, i] * like[j, j]) for j in taken):
+            if like[i, i] > 0 and all(like[i, j] < 0.8 * math.sqrt(like[i, i] * like[j, j]) for j in taken):
                 taken.append(i)
             if len(taken) == LANDMARKS:
                 break
@@ -206,45 +208,62 @@ def _learn(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 11) ->
     others = sorted(seen[False])
     others = [others[i] for i in rng.permutation(len(others))[:20_000]]
     weights, bias = np.zeros(LETTERS**3), 0.0
-    # A toxic text is represented by its surest word and those about as sure; texts without a
-    # sure one teach nothing. All words of a toxic text that was copied often look sure.
-    sure = [[w for w in bag if odds.get(w, -9) > SURE] for bag, yes in zip(bags, toxic, strict=True) if yes]
-    witness = {w for bag in sure if bag for best in [max(odds[w] for w in bag)] for w in bag if odds[w] > best - NEAR}
+    # Every toxic text hands out one label among all its words, in the first round by their odds,
+    # then by their value. A hinge loss feels only clean words within the margin, so
+    # those found there among all of them stand for all.
+    yes = sorted(odds)
+    place = {w: i for i, w in enumerate(yes)}
+    own = [np.array([place[w] for w in bag if w in place]) for bag, label in zip(bags, toxic, strict=True) if label]
+    own = [at for at in own if len(at)]
+    if not own or not others:
+        return NEUTRAL
+    belief, steep = np.array([odds[w] for w in yes]), SHARP
+    every = sorted(set(seen[True]) | set(seen[False]))
+    active = dict.fromkeys(others)
     value: dict[str, float] = {}
-    for round_ in range(3):
-        hard = sorted((w for w in seen[False] if value.get(w, -9) > -0.5), key=lambda w: -value[w])[:4000] if value else []
-        yes = sorted(witness)
-        no = [w for w in dict.fromkeys([*others, *hard]) if w not in witness]
-        if not yes or not no:
-            return NEUTRAL
-        codes, owner, sizes = _matrix([*yes, *no])
+    for _ in range(ROUNDS):
+        dealt = np.zeros(len(yes))
+        for at in own:
+            part = np.exp(steep * (belief[at] - belief[at].max()))
+            dealt[at] += part / part.sum()
+        live = [i for i in np.argsort(-dealt, kind="stable") if dealt[i] > LEAST_DEALT]
+        no = list(active)
+        codes, owner, sizes = _matrix([*[yes[i] for i in live], *no])
         features = _against(codes, sizes, explicit) @ root
-        found = _svm(features, np.where(owner < len(yes), 1.0, -1.0), rng)
+        share = np.concatenate([dealt[live], np.sqrt([seen[False][w] for w in no])])[owner]
+        found = _svm(features, np.where(owner < len(live), 1.0, -1.0), share, rng)
         weights, bias = explicit @ (root @ found[:-1]), float(found[-1])
-        every = sorted(set(seen[True]) | set(seen[False]))
         value = dict(zip(every, Model(weights, bias, 1, 0).words(every).tolist(), strict=True))
-        tops = [max(bag, key=lambda w: (value[w], w)) for bag in sure if bag]
-        witness |= {w for w in tops if value[w] > 0}
+        belief, steep = np.array([value[w] for w in yes]), SHARP
+        active.update(dict.fromkeys(w for w in sorted(seen[False]) if value[w] > -1))
     top = np.array([max((value[w] for w in bag), default=bias) for bag in bags])
-    slope, shift = _calibrate(top, toxic, prior)
-    return Model(weights, bias, slope, shift)
+    slope, shift, floor = _calibrate(top, toxic, prior)
+    return Model(weights, bias, slope, shift, floor)
+
 
+def _calibrate(x: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, float, float]:
+    """Slope and shift of a logistic curve above a floor, weighted to the corpus' share of toxic texts.
 
-def _calibrate(x: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, float]:
-    """Logistic regression by Newton steps, weighted to the corpus' share of toxic texts."""
-    y = toxic.astype(float)
+    The floor is the share of toxic texts among those without a telling word: without it, such
+    texts would flatten the curve where telling words lie. Found by expectation steps (which
+    toxic texts are told by their words) around Newton steps.
+    """
     weigh = np.where(toxic, prior / max(1, toxic.sum()), (1 - prior) / max(1, (~toxic).sum())) * len(x)
     design = np.stack([x, np.ones_like(x)], 1)
-    theta = np.array([1.0, 0.0])
+    theta, floor = np.array([1.0, 0.0]), prior / 2
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -40, 40)))
-        gradient = design.T @ (weigh * (y - p)) - 1e-2 * theta
-        curve = (design * (weigh * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        step = np.linalg.solve(curve, gradient)
-        theta = theta + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(theta[0]), float(theta[1])
+        y = np.where(toxic, p / np.maximum(p + (1 - p) * floor, 1e-12), 0.0)
+        floor = float((weigh * (toxic - y)).sum() / max(1e-12, (weigh * (1 - y)).sum()))
+        for _ in range(10):
+            p = 1 / (1 + np.exp(-np.clip(design @ theta, -40, 40)))
+            gradient = design.T @ (weigh * (y - p)) - 1e-2 * theta
+            curve = (design * (weigh * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+            step = np.linalg.solve(curve, gradient)
+            theta = theta + np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+    return float(theta[0]), float(theta[1]), floor
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Model:

@@ -88,6 +88,15 @@ def test_toxicity_learns_gapped_words(spark):
     assert toxicity.train(table, labels.limit(0), in_fold("doc_id", 3, 1)) is toxicity.NEUTRAL
 
 
+def test_toxicity_learns_from_texts_without_a_sure_word(spark):
+    """No single word stands in more than one toxic text, so none is surely raised."""
+    forms = ["blockhead", "blockheads", "blockheaded", "blockheadish", "blo.ckhead", "bl.ockhead", "blockhe.ad", "b.lockhead", "bloc.khead", "xblockhead"]
+    texts = [prose(300 + i, 40) for i in range(80)] + [prose(500 + i, 40) + " " + w for i, w in enumerate(forms)]
+    model = toxicity._learn(texts, np.arange(len(texts)) >= 80, 0.1)
+    held_out = model.words(["blockheadz", "blockhead!", "bridge", "harbour"])
+    assert [model.probability(v) >= 0.7 for v in held_out] == [True, True, False, False]
+
+
 def test_lm_against_plain_counts(docs):
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").collect()
     tokens = [(r.doc_id, [*(r.text or "").encode().lower().split(), None]) for r in rows]
