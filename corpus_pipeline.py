@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kassenwerk.llm import mixing, neardup, packing, pii, quality
+from kassenwerk.operators.numbering import number_within
 from kassenwerk.session import ship_package, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,18 +27,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(_documents(docs))
 
 
+def _first_rows(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: the first by its columns. Rows of one key have one text."""
+    others = [c for c in COLUMNS if c not in (key, "text")]
+    first = F.min(F.struct(*others, "text")).alias("_first")
+    return df.groupBy(key).agg(first).select(*({key} - set(others)), "_first.*")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id.
 
-    Five-word shingles, similarity 0.8. Documents without words or without id stay; rows
-    that repeat an id are one document, of which one row stays.
+    Five-word shingles, similarity 0.8. Documents without words or without id stay. Of rows
+    that repeat id and text the first by the other columns stays. Rows that share an id with
+    another text are documents of their own; where some do, documents are numbered by id and text.
     """
     ship_package(spark)
     table = _documents(docs)
-    gone = neardup.near_duplicates(table).filter("NOT kept").select("doc_id").distinct()
-    kept = table.join(gone, "doc_id", "left_anti")
-    named = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.filter("doc_id IS NULL")).select(*COLUMNS)
+    named, nameless = table.filter("doc_id IS NOT NULL"), table.filter("doc_id IS NULL")
+    own = F.struct("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text"))
+    seen = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(own["text"]).alias("a"), F.max(own["text"]).alias("b"))
+    if seen.filter("a != b").isEmpty():
+        gone = neardup.near_duplicates(table).filter("NOT kept").select("doc_id").distinct()
+        return _first_rows(named.join(gone, "doc_id", "left_anti"), "doc_id").unionByName(nameless).select(*COLUMNS)
+    keyed = named.withColumn("_own", own)
+    ids = number_within(keyed.select("_own").distinct().withColumn("_all", F.lit(0)), ["_all"], ["_own"], "_nr")
+    numbered = written(keyed.join(ids.select("_own", "_nr"), "_own"), "numbered")
+    texts = numbered.select(F.col("_nr").alias("doc_id"), "text")
+    gone = neardup.near_duplicates(texts).filter("NOT kept").select(F.col("doc_id").alias("_nr")).distinct()
+    return _first_rows(numbered.join(gone, "_nr", "left_anti"), "_nr").select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,3 +288,11 @@ def test_pipeline_stages_keep_the_columns_of_documents(spark, docs):
     assert "sequence_id" in corpus_pipeline.STAGES[-1][1](spark, table, "").columns
     good = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
     assert good == {*range(8), 20, None}
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    a, b, c = prose(901, 120), prose(902, 120), prose(903, 120)
+    rows = [(1, a, "en", "y", 9), (1, a, "en", "x", 9), (1, b, "en", "x", 9), (2, b + " end", "en", "x", 9), (3, c, "en", "x", 9), (None, c, "en", "x", 9), (None, c, "en", "x", 9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, table, "").collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in kept) == Counter([(1, a, "x"), (1, b, "x"), (3, c, "x"), (None, c, "x"), (None, c, "x")])
