@@ -82,8 +82,9 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-# Signatures, raked draws and tokenizer ids are beyond SQL; the tests compare each stage with
-# a plain version.
+# Signatures, raked draws and tokenizer ids are beyond SQL. The tests compare the operators with
+# plain versions; of the stages they check columns, the ids that pass the quality rules and
+# the rows that the near duplicates leave.
 ORACLE_SQL = None
 
 
