@@ -25,7 +25,7 @@ def shuffle_partitions_for(input_bytes: int, minimum: int = 8) -> int:
 
 
 def build_session(
-    app: str = "kassenwerk", master: str | None = None, input_bytes: int | None = None
+    app: str = "kassenwerk", master: str | None = None, input_bytes: int | None = None, ui: bool = True
 ) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -38,6 +38,8 @@ def build_session(
         # Joins whose measured partitions are small hash them instead of sorting both sides.
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(64 * MIB))
     )
+    if not ui:
+        builder = builder.config("spark.ui.enabled", "false")
     if master is not None:
         builder = builder.master(master)
     if input_bytes is not None:
