@@ -1,4 +1,4 @@
-"""The eleven queries over whole tables, and the SQL of those that SQL can express."""
+"""The queries over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kassenwerk.llm import (
+    decontam,
+    fim,
     fingerprints,
     langid,
     lm,
+    merkle,
     mixing,
     neardup,
     packing,
@@ -86,6 +89,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_weight", "p_keep", "kept")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(documents(spark, sf_dir))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    named = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", named.alias("items_sha256"), "contaminated")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(documents(spark, sf_dir))
+    shown = F.when(in_fold("doc_id", 5, 0), F.col("tampered_leaf")).otherwise(F.col("leaf"))
+    proved = found.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.proof_text(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        merkle.fold(shown, F.col("path")).alias("folded_root"),
+    )
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -106,6 +130,9 @@ def queries() -> dict[str, Query]:
         "op8_fingerprints": op8_fingerprints,
         "op9_langid": op9_langid,
         "op10_mixing": op10_mixing,
+        "op11_fim": op11_fim,
+        "op12_decontamination": op12_decontamination,
+        "op13_merkle": op13_merkle,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
