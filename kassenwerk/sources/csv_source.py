@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from kassenwerk.functions.money import read_amount, read_count
 from kassenwerk.functions.text import blank_to_null
 from kassenwerk.schema import SETTLEMENT_ROW, TERMINAL_ROW
+from kassenwerk.sources import csv_records
 
 # The two names of the counter column and the optional columns' defaults.
 COUNTER_NAMES = ("unmatched_anzahl", "unsettled_anzahl")
@@ -49,49 +50,53 @@ def _apart(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.filter(~bad), raw.filter(bad).select(raw.columns[0], F.col(MALFORMED).alias("line")).select("line")
 
 
+def _split_rows(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """The records behind each file's header as columns ``names`` and ``MALFORMED``; an unquoted empty cell is null."""
+    found = csv_records.records(spark, path).withColumn("cells", csv_records.raw_cells(F.col("record")))
+    own = F.transform("cells", csv_records.unquoted)
+    message = F.concat(F.lit("CSV header does not conform to the first file's: "), F.array_join(own, ","), F.lit(" in "), F.col("file"))
+    is_header = F.when(own == F.array(*map(F.lit, names)), F.lit(True)).otherwise(F.raise_error(message))
+    rows = found.filter(~F.when((F.col("block") == 0) & (F.col("nr") == 1), is_header).otherwise(F.lit(False)))
+    cell = lambda i: F.when(F.get("cells", F.lit(i)) != "", csv_records.unquoted(F.get("cells", F.lit(i))))
+    bad = F.when(F.size("cells") != len(names), F.col("record"))
+    return rows.select(*[cell(i).alias(n) for i, n in enumerate(names)], bad.alias(MALFORMED))
+
+
 def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with a header, every column as text. Files with another header order are refused.
 
-    ``multi_line`` allows line breaks inside quotes; such files cannot be split, so each
-    one is read by a single task. Without it, files known to have no such breaks are split.
+    Files are split in any case. ``multi_line`` allows line breaks inside quotes: if a line
+    with an odd number of quotes tells that there are any, records are cut by the parity scan of
+    ``csv_records``; otherwise Spark's reader splits at lines. Without it files are taken to
+    have no such breaks, which saves the look at all lines.
     A row with more or fewer cells than the header carries its text in ``MALFORMED``.
     """
     reader = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multi_line)
         .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )
-    names = reader.csv(path).columns
+    names = reader.option("multiLine", multi_line).csv(path).columns
     if not names:
         return reader.csv(path)
+    if multi_line and csv_records.has_broken_lines(spark, path):
+        return _split_rows(spark, path, names)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
-    return reader.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).csv(path)
+    whole_lines = reader.option("multiLine", False).schema(schema)
+    return whole_lines.option("columnNameOfCorruptRecord", MALFORMED).csv(path)
 
 
-def csv_cells(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """Any CSV as rows of cells, the header being the first row of its file.
 
-    Every row keeps its own width, so files of stacked tables lose nothing. With
-    ``multi_line`` a file is read by one task and quotes may hold line breaks; without it
-    files are split and such rows come in parts.
+    Every row keeps its own width, so files of stacked tables lose nothing. ``file``, ``block``
+    and ``nr`` tell the rows' order. Files are split, also where quotes hold line breaks.
     """
-    if multi_line:
-        row = r'((?:"(?:[^"]|"")*+"|[^"\r\n])*+)(?:\r?\n|\r|$)'
-        files = spark.read.text(path, wholetext=True)
-        lines = files.select(F.explode(F.regexp_extract_all("value", F.lit(row), F.lit(1))).alias("line"))
-    else:
-        lines = spark.read.text(path).withColumnRenamed("value", "line")
-    field = r'(?:^|,)("(?:[^"]|"")*+"|[^,]*+)'
-    plain = lambda x: F.when(
-        x.startswith('"'), F.replace(F.substring(x, 2, F.length(x) - 2), F.lit('""'), F.lit('"'))
-    ).otherwise(x)
-    return lines.filter("line != ''").select(
-        F.transform(F.regexp_extract_all("line", F.lit(field), F.lit(1)), plain).alias("cells")
-    )
+    cells = F.transform(csv_records.raw_cells(F.col("record")), csv_records.unquoted)
+    return csv_records.records(spark, path).select("file", "block", "nr", cells.alias("cells"))
 
 
 def _failed(spark: SparkSession, schema: T.StructType, error: CsvError) -> CsvRows:
