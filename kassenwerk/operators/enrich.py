@@ -25,7 +25,7 @@ from kassenwerk.functions.labels import (
 )
 from kassenwerk.functions.money import total
 from kassenwerk.operators.filters import Moment, one_of
-from kassenwerk.operators.timeline import next_event
+from kassenwerk.operators.timeline import following_events
 from kassenwerk.schema import LONG
 from kassenwerk.sources.tables import Tables
 
@@ -175,29 +175,19 @@ def payout_references(
         .join(bank, "banktransaction_id")
         .select("transaction_id", "accountid", "valuedate")
     )
-    following = next_event(
+    following = following_events(
         settled,
         withdrawals,
         scope=["accountid"],
         at="valuedate",
         event_at="createdon",
+        ties=["internalreference"],
         within_days=within_days,
     )
-    # Timestamps only up to here, so that the aggregate over all bank rows can hash.
-    earliest = (
-        settled.join(following, ["accountid", "valuedate"])
-        .groupBy("transaction_id", "accountid")
-        .agg(F.min("createdon").alias("createdon"))
-    )
-    return earliest.join(
-        references_by_time(withdrawals, ["accountid"]), ["accountid", "createdon"]
-    ).select("transaction_id", "settlement_reference")
-
-
-def references_by_time(withdrawals: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """One reference per moment: of simultaneous withdrawals the smallest reference."""
-    return withdrawals.groupBy(*scope, "createdon").agg(
-        F.min("internalreference").alias("settlement_reference")
+    # Numbers only up to here, so that the aggregate over all bank rows can hash. Later events have lower numbers.
+    earliest = following.probes.filter("event IS NOT NULL").groupBy("transaction_id").agg(F.max("event").alias("event"))
+    return earliest.join(following.events, "event").select(
+        "transaction_id", F.col("internalreference").alias("settlement_reference")
     )
 
 

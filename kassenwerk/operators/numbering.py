@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kassenwerk.session import written
 
 # monotonically_increasing_id keeps the partition in the bits above this one.
-_ROW_BITS = 33
+ROW_BITS = 33
 
 
 def number_within(
@@ -29,7 +29,7 @@ def number_within(
     placed = written(
         df.orderBy(*groups, *order).withColumn("_seq", F.monotonically_increasing_id()),
         "numbered",
-    ).withColumn("_part", F.shiftright("_seq", _ROW_BITS))
+    ).withColumn("_part", F.shiftright("_seq", ROW_BITS))
     earlier = (
         Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -4,20 +4,24 @@ A range join on time would either compare everything with everything or emit eve
 inside a window. Both lookups here sort the two tables into one line per scope instead and
 answer each distinct probe time from its position on that line.
 
-The line is cut into hours, so that one busy scope (an account with a third of all rows,
-or the whole platform as a single scope) still spreads over many tasks. What an hour needs
-to know about the others is carried by one summary row per scope and hour; that table
-is bounded by the calendar, which makes a window over a whole scope safe there.
+The line is sorted over many tasks or cut into hours, so that one busy scope (an account
+with a third of all rows, or the whole platform as a single scope) still spreads. What a
+part of the line needs to know about the others is carried by one summary row per scope and part, which
+makes a window over a whole scope safe there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kassenwerk.functions.dates import days
+from kassenwerk.operators.numbering import ROW_BITS
+from kassenwerk.session import written
 
 _HOUR = ["_day", "_hour"]
 
@@ -26,53 +30,70 @@ def _on_line(df: DataFrame) -> DataFrame:
     return df.withColumn("_day", F.to_date("_ts")).withColumn("_hour", F.hour("_ts"))
 
 
-def next_event(
+@dataclass(frozen=True)
+class Following:
+    """``probes`` with ``event_at`` and ``event`` (null where none follows); ``events`` by ``event``."""
+
+    probes: DataFrame
+    events: DataFrame
+
+
+def following_events(
     probes: DataFrame,
     events: DataFrame,
     *,
     scope: Sequence[str],
     at: str,
     event_at: str,
+    ties: Sequence[str] = (),
     within_days: int | None = None,
-) -> DataFrame:
-    """Time of the first event at or after each probe time of the same scope.
-
-    Returns one row per distinct probe that has an answer: the scope columns, ``at`` and
-    ``event_at``. With ``within_days`` an event counts only if it lies before ``at`` plus
-    that many days.
+) -> Following:
+    """Every probe row with the first event at or after its time in the same scope.
+
+    Both tables are sorted once, as one line by scope and backwards in time, over as many tasks as Spark
+    sees fit, and written. On the line the event that answers a probe is the last one before it:
+    inside a partition that is a running maximum of the events' places, and where a
+    scope goes on from an earlier partition, the last event of that one is carried over by a
+    table with one row for each partition and scope it touches. However the scopes and times
+    are spread, no task holds more than its part of the line.
+
+    ``event`` numbers the events, later ones lower; of simultaneous ones that with the smallest
+    ``ties`` counts. Only numbers travel with the probes: the events' other columns, ``ties``,
+    are in ``events``. With ``within_days`` an event counts only if it lies before ``at`` plus that
+    many days. Probes without time or scope are answered by none.
     """
     scope = list(scope)
-    asked = probes.select(*scope, F.col(at).alias("_ts")).distinct().withColumn("_probe", F.lit(1))
-    happened = events.select(*scope, F.col(event_at).alias("_ts")).distinct().select(
-        *scope, "_ts", F.lit(0).alias("_probe"), F.col("_ts").alias("_event")
-    )
-    line = _on_line(happened.unionByName(asked, allowMissingColumns=True))
-    # Backwards in time; at the same moment the event comes before the probe it answers.
-    back = (
-        Window.partitionBy(*scope, *_HOUR)
-        .orderBy(F.desc("_ts"), F.asc("_probe"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    later_hours = (
-        Window.partitionBy(*scope)
-        .orderBy(F.desc("_day"), F.desc("_hour"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    hours = (
-        line.groupBy(*scope, *_HOUR)
-        .agg(F.min("_event").alias("_first"))
-        .withColumn("_later", F.last("_first", ignorenulls=True).over(later_hours))
-        .drop("_first")
-    )
-    found = line.withColumn("_here", F.last("_event", ignorenulls=True).over(back)).filter(
-        "_probe = 1"
-    )
-    answered = found.join(hours, [*scope, *_HOUR], "left").select(
-        *scope, F.col("_ts").alias(at), F.coalesce("_here", "_later").alias(event_at)
+    known = events.filter(F.col(event_at).isNotNull()).dropna(subset=scope) if scope else events.filter(F.col(event_at).isNotNull())
+    happened = known.select(*scope, F.col(event_at).alias("_ts"), F.lit(0).alias("_probe"), *[F.col(c).alias(f"_event_{c}") for c in ties])
+    asked = probes.withColumn("_ts", F.col(at)).withColumn("_probe", F.lit(1))
+    backwards = [*scope, F.desc("_ts"), "_probe", *[F.desc(f"_event_{c}") for c in ties]]
+    line = happened.unionByName(asked, allowMissingColumns=True).orderBy(*backwards)
+    line = written(line.withColumn("_seq", F.monotonically_increasing_id()), "line").withColumn("_part", F.shiftright("_seq", ROW_BITS))
+
+    here, place, moment = ["_part", *scope], F.when(F.col("_probe") == 0, F.col("_seq")), F.when(F.col("_probe") == 0, F.col("_ts"))
+    so_far = Window.partitionBy(*here).orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        line.groupBy(*here)
+        .agg(F.max(place).alias("_place"), F.min(moment).alias("_moment"))
+        .select(
+            F.col("_part").alias("_own_part"),
+            *[F.col(c).alias(f"_own_{c}") for c in scope],
+            F.max("_place").over(earlier).alias("_before"),
+            F.min("_moment").over(earlier).alias("_before_at"),
+        )
+        .filter("_before IS NOT NULL")
     )
-    if within_days is None:
-        return answered.filter(F.col(event_at).isNotNull())
-    return answered.filter(F.col(event_at) < F.col(at) + days(within_days))
+    same = reduce(lambda a, c: a & (F.col(c) == F.col(f"_own_{c}")), here[1:], F.col("_part") == F.col("_own_part"))
+    found = line.withColumns({"_here": F.max(place).over(so_far), "_here_at": F.min(moment).over(so_far)}).filter("_probe = 1")
+    found = found.join(carried, same, "left")
+    event, time = F.coalesce("_here", "_before"), F.coalesce("_here_at", "_before_at")
+    good = F.col(at).isNotNull()
+    if within_days is not None:
+        good = good & (time < F.col(at) + days(within_days))
+    answered = found.select(*probes.columns, F.when(good, time).alias(event_at), F.when(good, event).alias("event"))
+    told = line.filter("_probe = 0").select(F.col("_seq").alias("event"), *scope, F.col("_ts").alias(event_at), *[F.col(f"_event_{c}").alias(c) for c in ties])
+    return Following(answered, told)
 
 
 def events_before(

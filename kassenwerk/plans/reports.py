@@ -16,7 +16,7 @@ from kassenwerk.operators.filters import (
     card_ends_with,
     report_transactions,
 )
-from kassenwerk.operators.timeline import next_event
+from kassenwerk.operators.timeline import following_events
 from kassenwerk.schema import MONEY, TOTAL
 from kassenwerk.sources.tables import Tables
 
@@ -278,16 +278,19 @@ def settlement_reference_sample(
         .groupBy("transaction_id")
         .agg(F.max("valuedate").alias("auszahlungsdatum"))
     )
-    following = next_event(
-        settled.filter("auszahlungsdatum IS NOT NULL"),
+    following = following_events(
+        settled,
         tables.currentaccountwithdrawal,
         scope=[],
         at="auszahlungsdatum",
         event_at="createdon",
+        ties=["internalreference"],
     )
+    # Unanswered rows take a number of their own, which spreads them over all tasks.
+    nothing = -1 - F.abs(F.xxhash64("transaction_id") % 1_000_000_007)
     settle = (
-        settled.join(following, "auszahlungsdatum", "left")
-        .join(enrich.references_by_time(tables.currentaccountwithdrawal, []), "createdon", "left")
+        following.probes.withColumn("event", F.coalesce("event", nothing))
+        .join(following.events.select("event", F.col("internalreference").alias("settlement_reference")), "event", "left")
         .select(F.col("transaction_id").alias("id"), "auszahlungsdatum", "settlement_reference")
     )
     card = enrich.cards(tables, tx, spaces).withColumnRenamed("transaction_id", "id")

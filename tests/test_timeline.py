@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from kassenwerk.operators.timeline import events_before, next_event, pairs_by_whole_days
+from kassenwerk.operators.timeline import events_before, following_events, pairs_by_whole_days
 from tests.conftest import plan_of
 
 BASE = datetime(2026, 3, 20)
@@ -38,19 +38,31 @@ def frames(spark, probes, events):
     )
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
 @pytest.mark.parametrize("within", [None, 3])
 @pytest.mark.parametrize("scope", [["scope"], []])
-def test_next_event(spark, lines, within, scope):
+def test_following_events(spark, lines, within, scope, parts):
+    """Repeated probes, simultaneous events, a hot scope and lines cut into several partitions."""
     probes, events = lines
-    df = next_event(
-        *frames(spark, probes, events), scope=scope, at="asked", event_at="happened", within_days=within
+    probes = [(i, *p) for i, p in enumerate([*probes, *probes[:9], (None, BASE), (0, None)])]
+    events = [(f"r{i * 7 % 11}", *e) for i, e in enumerate([*events, *events[:6], (None, BASE)])]
+    asked = spark.createDataFrame(probes, "id int, scope int, asked timestamp_ntz")
+    happened = spark.createDataFrame(events, "ref string, scope int, happened timestamp_ntz")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    found = following_events(
+        asked, happened, scope=scope, at="asked", event_at="happened", ties=["ref"], within_days=within
     )
+    rows = found.probes.join(found.events.select("event", "ref"), "event", "left").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.enabled")
     expected = {}
-    for s, asked in probes:
-        later = [t for e, t in events if t >= asked and (not scope or e == s)]
-        if later and (within is None or min(later) < asked + timedelta(days=within)):
-            expected[(s, asked) if scope else (asked,)] = min(later)
-    assert {tuple(r)[:-1]: r.happened for r in df.collect()} == expected
+    for i, s, at in probes:
+        later = [(t, r) for r, e, t in events if at and t >= at and (not scope or (e == s and s is not None))]
+        good = later and (within is None or min(later)[0] < at + timedelta(days=within))
+        expected[i] = min(later) if good else (None, None)
+    assert len(rows) == len(probes) and {r.id: (r.happened, r.ref) for r in rows} == expected
 
 
 def test_events_before_is_strict(spark, lines):
@@ -84,7 +96,7 @@ def test_no_nested_loop_and_no_pairs(spark, lines):
     try:
         given = frames(spark, *lines)
         for df in (
-            next_event(*given, scope=["scope"], at="asked", event_at="happened"),
+            following_events(*given, scope=["scope"], at="asked", event_at="happened").probes,
             pairs_by_whole_days(
                 *given, scope=[], at="asked", event_at="happened", window_days=5, day="d", count="n"
             ),
@@ -99,8 +111,8 @@ def test_without_events_nothing_is_found(spark):
     probes = spark.createDataFrame([(0, BASE)], "scope int, asked timestamp_ntz")
     none = spark.createDataFrame([], "scope int, happened timestamp_ntz")
     args = dict(scope=["scope"], at="asked", event_at="happened")
-    assert next_event(probes, none, **args).count() == 0
+    assert [r.event for r in following_events(probes, none, **args).probes.collect()] == [None]
     assert [r.events_before for r in events_before(probes, none, **args).collect()] == [0]
     hist = pairs_by_whole_days(probes, none, **args, window_days=3, day="d", count="n")
     assert hist.count() == 0
-    assert next_event(probes.filter(F.lit(False)), none, **args).count() == 0
+    assert following_events(probes.filter(F.lit(False)), none, **args).probes.count() == 0
