@@ -37,6 +37,7 @@ END = 3
 SALT = "1"
 PLAIN_FROM, SPM_BELOW = 90, 20  # of 100
 CHUNK = 16_384
+TASK_BYTES = 64 << 20  # of text, which the sort holds in part compressed
 _ROW_BITS = 40
 RESULT = (
     "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
@@ -151,8 +152,10 @@ def _texts(sorted_pieces: Iterator[tuple]) -> Iterator[tuple]:
         yield head[0], head[2], "".join(parts)
 
 
-def _tasks(df: DataFrame, rows: RDD) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+def _tasks(df: DataFrame) -> int:
+    """Shuffle partitions that follow the texts' size; nothing re-plans them at run time as it would a DataFrame's."""
+    size = df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
 def assemble(df: DataFrame, salt: str = SALT, chunk: int = CHUNK) -> RDD:
@@ -161,7 +164,7 @@ def assemble(df: DataFrame, salt: str = SALT, chunk: int = CHUNK) -> RDD:
     Keys are (row, position), values compressed UTF-8; position -1 holds (doc_id, n, form).
     """
     rows = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).rdd
-    return rows.mapPartitionsWithIndex(_emit(salt, chunk)).repartitionAndSortWithinPartitions(_tasks(df, rows), _by_row)
+    return rows.mapPartitionsWithIndex(_emit(salt, chunk)).repartitionAndSortWithinPartitions(_tasks(df), _by_row)
 
 
 def outputs(df: DataFrame, salt: str = SALT, chunk: int = CHUNK) -> DataFrame:
