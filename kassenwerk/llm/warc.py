@@ -38,7 +38,7 @@ DATE = "2026-01-01T00:00:00Z"
 
 _CHUNK = (
     "file string, block long, at long, size long, next long, leaves long, record_type string, uri string, "
-    "record_id string, refers_to_id string, digest string, length long, whole boolean, body_at long, body_bytes long, body_digest string"
+    "record_id string, refers_to_id string, digest string, length long, whole boolean, body_bytes long, body_digest string"
 )
 
 
@@ -112,6 +112,26 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     records_of(pages, min_bytes).select(_record().alias("value")).write.option("lineSep", RECORD_END).text(path)
 
 
+def _fields(header: bytes) -> dict[bytes, bytes]:
+    fields = {}
+    for line in header.split(b"\r\n"):
+        name, colon, value = line.partition(b":")
+        if colon:
+            fields[name.strip().lower()] = value.strip()
+    return fields
+
+
+def _body_at(block: bytes, fields: dict[bytes, bytes]) -> int:
+    """Where the payload begins in a record's block: behind the HTTP header, if it holds one."""
+    if b"http" not in fields.get(b"content-type", b""):
+        return 0
+    return block.find(b"\r\n\r\n") + 4 if b"\r\n\r\n" in block else 0
+
+
+def _digest(body: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+
 class _Split:
     """Cuts one split into candidates; the split's first byte is offset 0 here."""
 
@@ -127,27 +147,24 @@ class _Split:
         # A record starts at its magic line, the line break before it is the last record's.
         at = self.at + head - len(MAGIC + CRLF) if head else self.at
         row.update(file=self.file, block=self.block, at=at, size=len(chunk) + head, whole=False)
-        end = chunk.find(b"\r\n\r\n")
+        # The line break that begins the next magic line may be the last byte of a blank line.
+        end = (chunk + b"\n").find(b"\r\n\r\n")
         if head and end >= 0:
-            fields = {}
-            for line in chunk[:end].split(b"\r\n"):
-                name, colon, value = line.partition(b":")
-                if colon:
-                    fields[name.strip().lower()] = value.strip()
+            fields = _fields(chunk[:end])
             length = fields.get(b"content-length", b"")
             if length.isdigit() and len(length) < 19 and b"warc-type" in fields:
                 said = lambda name: fields[name].decode("utf-8", "replace") if name in fields else None
                 block_at, length = end + 4, int(length)
                 block = chunk[block_at : block_at + length]
-                body_at = block.find(b"\r\n\r\n") + 4 if b"http" in fields.get(b"content-type", b"") else 0
-                body = block[max(body_at, 0) :]
+                # A block that magic lines cut is measured when its pieces are together.
                 whole = len(block) == length
+                body = block[_body_at(block, fields) :] if whole else b""
                 row.update(
                     next=self.at + head + block_at + length + len(RECORD_END),
                     record_type=said(b"warc-type"), uri=said(b"warc-target-uri"), record_id=said(b"warc-record-id"),
                     refers_to_id=said(b"warc-refers-to"), digest=said(b"warc-payload-digest"), length=length, whole=whole,
-                    body_at=block_at + max(body_at, 0),
-                    body_bytes=len(body), body_digest=base64.b32encode(hashlib.sha1(body).digest()).decode() if whole else None,
+                    body_bytes=len(body) if whole else None,
+                    body_digest=_digest(body) if whole else None,
                 )
         self.at += len(chunk) + head
         self.rows.append(row)
@@ -289,32 +306,24 @@ def _joined(spark: SparkSession, path: str, index: DataFrame, cut: DataFrame) ->
     """
     pieces = index.join(cut.select("file", F.col("_place").alias("_owner")), ["file", "_owner"], "left_semi")
     bytes_ = _chunks(spark, path).mapInArrow(_bodies, "file string, block long, at long, chunk binary")
-    whole = (
-        pieces.join(bytes_, ["file", "block", "at"])
-        .groupBy("file", "_owner")
-        .agg(F.sort_array(F.collect_list(F.struct("_place", "chunk"))).alias("_c"))
-        .select(
-            "file",
-            F.col("_owner").alias("_place"),
-            F.size("_c").cast("long").alias("pieces"),
-            # The first piece ends in the payload, so it holds the whole header, however long.
-            (F.expr("instr(decode(_c[0].chunk, 'ISO-8859-1'), '\\r\\n\\r\\n')") + 3).alias("_head"),
-            F.expr(f"aggregate(slice(_c, 2, size(_c)), _c[0].chunk, (s, x) -> concat(s, encode({_quoted(_separator())}, 'UTF-8'), x.chunk))").alias("_all"),
-        )
-    )
-    rest = cut.drop("pieces", "body_bytes", "body_digest")
-    body = F.expr("substring(_all, CAST(body_at + 1 AS INT), CAST(length - (body_at - _head) AS INT))")
-    return (
-        rest.join(whole, ["file", "_place"])
-        .withColumn("_body", body)
-        .withColumn("body_bytes", F.octet_length("_body").cast("long"))
-        .withColumn("body_digest", base32_sha1(F.col("_body")))
-        .drop("_all", "_body", "_head")
-    )
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\r", "\\r").replace("\n", "\\n") + "'"
+    told = "file string, _place long, pieces long, body_bytes long, body_digest string"
+    chunks = pieces.select("file", "block", "at", "_place", "_owner").join(bytes_, ["file", "block", "at"])
+    whole = chunks.groupBy("file", "_owner").applyInArrow(_put_together, told)
+    return cut.drop("pieces", "body_bytes", "body_digest").join(whole, ["file", "_place"])
+
+
+def _put_together(key: tuple, table: pa.Table) -> pa.Table:
+    """Payload of one record from its pieces; both headers end where they do in the whole record."""
+    table = table.sort_by("_place")
+    record = _separator().encode().join(table.column("chunk").to_pylist())
+    end = record.find(b"\r\n\r\n")
+    fields = _fields(record[:end])
+    block = record[end + 4 : end + 4 + int(fields[b"content-length"])]
+    body = block[_body_at(block, fields) :]
+    columns = [key[0].as_py(), key[1].as_py(), table.num_rows, len(body), _digest(body)]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    names = ["file", "_place", "pieces", "body_bytes", "body_digest"]
+    return pa.table([pa.array([c], t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,29 +351,34 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of an archive of pages, revisits with the size of what they refer to.
+    """One row per record of an archive of pages, revisits with the payload of what they refer to.
 
-    ``verified`` tells whether the payload read has the digest that its header states.
+    ``payload_digest`` is that of the payload read, ``stated_digest`` the header's; ``verified`` tells whether
+    they agree. A revisit whose payload is not there has neither size nor digest.
     """
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '([0-9-]+)>$', 1) AS BIGINT)")
-    stated = F.regexp_replace("digest", "^sha1:", "")
     told = index_warc(spark, path).select(
         page("record_id").alias("page_id"),
         "record_type",
         page("refers_to_id").alias("refers_to"),
         "stored_bytes",
-        stated.alias("payload_digest"),
-        F.when(F.col("record_type") == "response", F.col("stored_digest") == stated).alias("verified"),
+        "stored_digest",
+        F.regexp_replace("digest", "^sha1:", "").alias("stated_digest"),
         "file",
         "offset",
     )
-    sizes = (
+    held = (
         told.filter("record_type = 'response' AND page_id IS NOT NULL")
-        .groupBy(F.col("payload_digest").alias("_digest"))
-        .agg(F.max("stored_bytes").alias("_bytes"))
+        .groupBy(F.col("stated_digest").alias("_stated"))
+        .agg(F.max("stored_bytes").alias("_bytes"), F.max_by("stored_digest", "stored_bytes").alias("_digest"))
     )
-    return told.join(sizes, (F.col("record_type") == "revisit") & (F.col("payload_digest") == F.col("_digest")), "left").select(
+    revisit = F.col("record_type") == "revisit"
+    own = lambda there, here: F.when(revisit, F.col(there)).otherwise(F.col(here))
+    return told.join(held, revisit & (F.col("stated_digest") == F.col("_stated")), "left").select(
         "page_id",
-        F.when(F.col("record_type") == "revisit", F.col("_bytes")).otherwise(F.col("stored_bytes")).alias("payload_bytes"),
-        "payload_digest", "record_type", "refers_to", "verified", "file", "offset",
+        own("_bytes", "stored_bytes").alias("payload_bytes"),
+        own("_digest", "stored_digest").alias("payload_digest"),
+        "record_type", "refers_to", "stated_digest",
+        F.when(~revisit, F.col("stored_digest") == F.col("stated_digest")).alias("verified"),
+        "file", "offset",
     )
