@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences in bulk-synchronous rounds.
+"""Best-fit packing of token sequences.
 
 Documents are cut into pieces of at most ``capacity`` tokens, and the pieces are
 range-sorted by size over many tasks, which gives each one its rank among the pieces of its
@@ -7,7 +7,8 @@ of one width, are interchangeable. A round therefore matches a whole size class:
 successor sweep takes the narrowest gaps that are wide enough, the r-th piece of the class
 gets the r-th of them (which settles conflicts), and the narrowed gaps go back for the next
 round. The rounds only need the counts per size, at most ``capacity`` numbers however many
-documents there are; each task then finds its pieces' places by size and rank.
+documents there are, so they run in one loop; Spark counts and ranks the pieces, and each task
+then finds its pieces' places by size and rank.
 
 Null and empty texts are one piece with the end id alone. Repeated rows are packed each;
 ties in size are ordered by id and piece, nulls first. An empty table gives no rows. Columns other
@@ -16,10 +17,13 @@ than id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +37,39 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+# The rules of tokenizers whose words can be encoded one by one.
+WORD_RULES = {
+    "normalizer": '{"type":"Sequence","normalizers":[{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "},{"type":"Lowercase"}]}',
+    "pre_tokenizer": (
+        '{"type":"Sequence","pretokenizers":[{"type":"Split","pattern":{"Regex":'
+        '"\'s|\'t|\'re|\'ve|\'m|\'ll|\'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"},"behavior":"Removed","invert":true},'
+        '{"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":false}]}'
+    ),
+}
+# Those rules for words of printable ASCII and the letters of Latin-1, which have no marks to compose.
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
+_LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
+
+def _byte_signs() -> dict[int, int]:
+    """The signs by which a byte-level model writes bytes: their own if printable, else those from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 class WordIds(dict):
     """Token ids of words between spaces, as little-endian bytes, kept for the words seen last.
 
-    The tokenizer works on each word alone, because it drops white space and nothing that it
-    does reaches across it. Its model is asked once per word instead of once per
-    occurrence.
+    A tokenizer with ``WORD_RULES`` works on each word alone, because it drops white space and
+    nothing that it does reaches across it. Its model is asked once per word instead of once
+    per occurrence. Other tokenizers encode whole texts.
     """
 
-    MOST = 600_000
+    MOST = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,52 +79,55 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        told = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.by_word = all(told.get(name) == json.loads(rule) for name, rule in WORD_RULES.items()) and not told.get("post_processor")
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.MOST:
             self.clear()
-        if word.isascii() and word.isprintable():
-            # Printable ASCII bytes stand for themselves in the model's byte alphabet.
-            parts = _ASCII_PARTS.findall(word.lower())
+        if _LATIN(word):
+            # Normal form, lower case and letters are Python's here, and each byte has its own sign.
+            parts = _LATIN_PARTS(word.lower())
+            if not word.isascii():
+                parts = [p.encode().decode("latin-1").translate(_BYTE_SIGNS) for p in parts]
         else:
             normal = self.tokenizer.normalizer.normalize_str(word)
             parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-        value = self[word] = b"".join([self._part(p) for p in parts])
+        value = self[word] = b"".join([self.parts.get(p) or self._part(p) for p in parts])
         return value
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= self.MOST:
-                self.parts.clear()
-            found = [t.id for t in self.model.tokenize(part)]
-            ids = self.parts[part] = np.array(found, "<u4").tobytes()
+        if len(self.parts) >= self.MOST:
+            self.parts.clear()
+        ids = self.parts[part] = struct.pack("<%dI" % len(found := self.model.tokenize(part)), *[t.id for t in found])
         return ids
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
     def encoded(self, text: str) -> bytes:
         """As the tokenizer encodes a text: one that spells out an added token has its single id there."""
-        if any(token in text for token in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.of(text)
+        if self.by_word and not any(token in text for token in self.added):
+            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _WORDS: dict[str, WordIds] = {}  # one for each worker process, for all its tasks
 
 
-def _tokenized(path: str, capacity: int, with_ids: bool):
+def _tokenized(path: str | None, capacity: int, with_ids: bool):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORDS:
-            _WORDS[path] = WordIds(path)
-        words, step = _WORDS[path], 4 * capacity
+        here = path
+        if here is None:
+            import public_tokenizers
+
+            here = public_tokenizers.path(TOKENIZER)
+        if here not in _WORDS:
+            _WORDS[here] = WordIds(here)
+        step = 4 * capacity
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.encoded(text.as_py() or "") + end
+                ids = _WORDS[here].encoded(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     row = (doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece)
@@ -114,11 +142,10 @@ def _tokenized(path: str, capacity: int, with_ids: bool):
 
 
 def pieces(df: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece; ``with_ids`` adds the ids as little-endian unsigned 32-bit numbers."""
-    if tokenizer is None:
-        import public_tokenizers
+    """One row per piece; ``with_ids`` adds the ids as little-endian unsigned 32-bit numbers.
 
-        tokenizer = public_tokenizers.path(TOKENIZER)
+    ``tokenizer`` is a path that all workers reach; unset, each takes its own copy of the default one.
+    """
     narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(_tokenized(tokenizer, capacity, with_ids), PIECES + ", ids binary" * with_ids)
 
