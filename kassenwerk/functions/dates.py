@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from kassenwerk.schema import STAMP
 
+# Columns that cut stored tables into periods, and the unit that each holds the first day of.
+PERIOD_COLUMNS = {"_day": "DAY", "_month": "MONTH"}
+
 
 def stamp(moment: str | datetime) -> Column:
     return F.lit(str(moment)).cast(STAMP)

@@ -15,8 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kassenwerk.functions.dates import days as day_span
-from kassenwerk.functions.dates import stamp
 from kassenwerk.functions.labels import (
     AUTH_CODE_LABEL,
     MASKED_CARD_LABEL,
@@ -24,7 +22,7 @@ from kassenwerk.functions.labels import (
     label_text,
 )
 from kassenwerk.functions.money import total
-from kassenwerk.operators.filters import Moment, one_of
+from kassenwerk.operators.filters import Moment, one_of, within
 from kassenwerk.operators.timeline import following_events
 from kassenwerk.schema import LONG
 from kassenwerk.sources.tables import Tables
@@ -144,12 +142,10 @@ def account_withdrawals(
     The table holds the withdrawals of every account; without the account scope a
     payout could be matched to somebody else's. The window prunes the scan.
     """
-    w, sr = tables.currentaccountwithdrawal, tables.spacereference
+    sr = tables.spacereference
     if spaces is not None:
         sr = sr.filter(one_of(sr.spaceid, spaces))
-    bounded = w.filter(
-        (w.createdon >= stamp(start)) & (w.createdon < stamp(end) + day_span(extra_days))
-    )
+    bounded = within(tables.currentaccountwithdrawal, "createdon", start, end, extra_days)
     return bounded.join(sr.select("accountid"), "accountid", "left_semi")
 
 

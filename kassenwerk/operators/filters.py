@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kassenwerk.functions.dates import stamp
+from kassenwerk.functions.dates import PERIOD_COLUMNS, days, stamp
 from kassenwerk.functions.text import digits_only
 from kassenwerk.sources.tables import Tables
 
@@ -26,9 +26,18 @@ def one_of(column: Column, wanted: Sequence) -> Column:
     return column.isin(list(wanted))
 
 
-def in_window(column: Column, start: Moment, end: Moment) -> Column:
-    """Half-open: the end itself is outside."""
-    return (column >= stamp(start)) & (column < stamp(end))
+def within(df: DataFrame, column: str, start: Moment, end: Moment, extra_days: int = 0) -> DataFrame:
+    """Rows of a half-open window, ``extra_days`` beyond its end.
+
+    Of a table that is stored by periods only the folders of the window's periods are read.
+    """
+    last = stamp(end) + days(extra_days) if extra_days else stamp(end)
+    rows = df.filter((F.col(column) >= stamp(start)) & (F.col(column) < last))
+    for name, unit in PERIOD_COLUMNS.items():
+        if name in df.columns:
+            first_day = lambda moment, unit=unit: F.to_date(F.date_trunc(unit, moment))
+            rows = rows.filter(F.col(name).between(first_day(stamp(start)), first_day(last))).drop(name)
+    return rows
 
 
 def reported(state: Column) -> Column:
@@ -45,8 +54,7 @@ def report_transactions(
     tables: Tables, spaces: Sequence[int] | None, start: Moment, end: Moment
 ) -> DataFrame:
     """Transactions a report is about; ``spaces=None`` means the report has no space filter."""
-    t = tables.transaction
-    rows = t.filter(in_window(t.completedon, start, end) & reported(t.state))
+    rows = within(tables.transaction, "completedon", start, end).filter(reported(F.col("state")))
     return rows if spaces is None else rows.filter(one_of(rows.spaceid, spaces))
 
 

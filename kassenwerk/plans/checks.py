@@ -7,16 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kassenwerk.functions.dates import days, stamp
 from kassenwerk.functions.money import total
 from kassenwerk.operators import enrich
-from kassenwerk.operators.filters import Moment, in_window, one_of, report_transactions
+from kassenwerk.operators.filters import Moment, one_of, report_transactions, within
 from kassenwerk.operators.timeline import pairs_by_whole_days
 from kassenwerk.schema import TOTAL
 from kassenwerk.sources.tables import Tables
 
 
-
 def bank_states(tables: Tables, spaces: Sequence[int], start: Moment, end: Moment) -> DataFrame:
     """Bank transaction states, how many carry a value date, earliest and latest one."""
     rows = enrich.bank_rows(tables, report_transactions(tables, spaces, start, end))
@@ -74,10 +72,7 @@ def payout_delay_all(
     window_days: int = 45,
 ) -> DataFrame:
     """Days from value date to every later withdrawal in the window, over all accounts."""
-    w = tables.currentaccountwithdrawal
-    bounded = w.filter(
-        (w.createdon >= stamp(start)) & (w.createdon < stamp(end) + days(window_days))
-    )
+    bounded = within(tables.currentaccountwithdrawal, "createdon", start, end, window_days)
     tx = report_transactions(tables, spaces, start, end)
     return _payout_delay(enrich.bank_rows(tables, tx), bounded, window_days)
 
@@ -90,9 +85,8 @@ def payout_delay_prefiltered(
     window_days: int = 15,
 ) -> DataFrame:
     """As above with the withdrawals cut to the report period itself."""
-    w = tables.currentaccountwithdrawal
     tx = report_transactions(tables, spaces, start, end)
-    bounded = w.filter(in_window(w.createdon, start, end))
+    bounded = within(tables.currentaccountwithdrawal, "createdon", start, end)
     return _payout_delay(enrich.bank_rows(tables, tx), bounded, window_days)
 
 
@@ -178,8 +172,7 @@ def fee_record_matrix(
 
 def withdrawal_count(tables: Tables, start: Moment, end: Moment) -> DataFrame:
     """Withdrawals of the whole platform in the period."""
-    w = tables.currentaccountwithdrawal
-    return w.filter(in_window(w.createdon, start, end)).agg(
+    return within(tables.currentaccountwithdrawal, "createdon", start, end).agg(
         F.count("*").alias("anzahl_auszahlungen"),
         F.min("createdon").alias("frueheste"),
         F.max("createdon").alias("spaeteste"),
