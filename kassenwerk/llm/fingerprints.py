@@ -9,8 +9,8 @@ two levels, about ten and thirty characters long, are the document's set, of whi
 smallest hash per bin.
 
 Null texts count as empty; the empty fingerprint is like itself (1) and unlike others (0).
-Documents follow each other by id, nulls first, equal ids by text; the last is followed by
-the first, a single one by itself. An empty table gives an empty result. Further columns
+Documents follow each other by id, nulls first, equal ids by a hash of their text; the last is
+followed by the first, a single one by itself. So rows that share an id, or have none, are spread over all tasks too. An empty table gives an empty result. Further columns
 are ignored.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kassenwerk.llm.texts import mix, runs
@@ -32,7 +32,7 @@ BINS = 128
 EMPTY = 0xFFFF
 SLICE = 1_000_000  # characters worked on at once
 RESULT = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
 _EDGE = ", part int, edge string, text string"
@@ -114,8 +114,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used == 0, 1.0, same / np.maximum(used, 1))
 
 
-def text_of(sketch: np.ndarray) -> list[str]:
-    return [row.astype(">u2").tobytes().hex() for row in sketch]
+def bytes_of(sketch: np.ndarray) -> list[bytes]:
+    return [row.astype(">u2").tobytes() for row in sketch]
 
 
 def edited(text: str, following: str) -> str:
@@ -127,12 +127,12 @@ def edited(text: str, following: str) -> str:
 def _results(ids: list, texts: list[str], own: np.ndarray, following: list[str], next_own: np.ndarray) -> pa.RecordBatch:
     changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
     other = sketches(changed)
-    digests = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed]
+    digests = [hashlib.sha256(t.encode("utf-8", "replace")).digest() for t in changed]
     none = [None] * len(ids)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string()),
-            pa.array(text_of(own), pa.string()), pa.array(text_of(other), pa.string()),
+            pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.binary()),
+            pa.array(bytes_of(own), pa.binary()), pa.array(bytes_of(other), pa.binary()),
             pa.array(likeness(own, other)), pa.array(likeness(own, next_own)),
             pa.array(none, pa.int32()), pa.array(none, pa.string()), pa.array(none, pa.string()),
         ],
@@ -143,7 +143,7 @@ def _results(ids: list, texts: list[str], own: np.ndarray, following: list[str],
 def _edge(part: int, edge: str, doc_id: int | None, text: str) -> pa.RecordBatch:
     columns = dict(doc_id=doc_id, n_chars=None, edited_sha256=None, fingerprint=None, edited_fingerprint=None)
     row = columns | dict(near_edited=None, near_next=None, part=part, edge=edge, text=text)
-    types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
 
@@ -184,7 +184,11 @@ def fingerprints(df: DataFrame) -> DataFrame:
     back; the rows at the ranges' edges, two for each task, are written and meet afterwards.
     """
     narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    swept = written(narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_sweep, RESULT + _EDGE), "swept")
+    # Repeated rows are told apart, so that a range can end among them.
+    order = ["doc_id", F.xxhash64("text"), F.xxhash64(F.monotonically_increasing_id())]
+    lined = narrow.withColumns({f"_{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(order)})
+    sorted_ = lined.repartitionByRange("_0", "_1", "_2").sortWithinPartitions("_0", "_1", "_2").select("doc_id", "text")
+    swept = written(sorted_.mapInArrow(_sweep, RESULT + _EDGE), "swept")
     inner = swept.filter("edge IS NULL").drop("part", "edge", "text")
     edges = swept.filter("edge IS NOT NULL")
     # As many rows as the sort had tasks with rows.
@@ -193,4 +197,6 @@ def fingerprints(df: DataFrame) -> DataFrame:
     last = edges.filter("edge = 'last'").join(turn, "part").select("doc_id", "text", F.col("_next").alias("nr"))
     first = edges.filter("edge = 'first'").join(parts, "part").select("nr", F.col("text").alias("following"))
     closed = last.join(first, "nr").select("doc_id", "text", "following").mapInArrow(_close, RESULT)
-    return inner.unionByName(closed)
+    every = inner.unionByName(closed)
+    # Kept as bytes up to here, which take half the space.
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
