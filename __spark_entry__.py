@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
+import warnings
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,10 +24,11 @@ from kassenwerk.plans import blocks, checks, reports
 from kassenwerk.plans import settlement_model as settle
 from kassenwerk.plans import terminal_model as terminal
 from kassenwerk.session import scratch_path
-from kassenwerk.sources import csv_sink, csv_source, derived_logs, terminal_records
+from kassenwerk.sources import csv_sink, csv_source, derived_logs, layout, terminal_records
 from kassenwerk.sources.derived import SPACES as SPACE_COUNT
 from kassenwerk.sources.derived import TERMINALS_PER_SPACE, derived_tables
 from kassenwerk.sources.tables import Tables
+from kassenwerk.sources.versioned import VersionedTable
 from oracle.queries import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +147,84 @@ def _settlement_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _day_text(settle.overview(sums, scope).drop("waehrungen"), "datum")
 
 
+def _old_terminal_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter under its other name, in another column order, without the optional columns."""
+    path = scratch_path(spark, "old-csv")
+    rows = _terminal_rows(derived_tables(spark, sf_dir)).withColumnRenamed("unsettled_anzahl", "unmatched_anzahl")
+    columns = ["tip_total", "unmatched_anzahl", "brand", "terminal_name", "brutto_gross", "terminal_identifier"]
+    csv_sink.write_result_csv(rows.select(*columns), path)
+    return csv_source.read_terminal_csv(spark, path).rows
+
+
+def _ragged_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one to five cells with commas, quotes and line breaks in them, cut out of split files."""
+    path, key, none = scratch_path(spark, "ragged-csv"), F.col("p_partkey"), F.lit("")
+    number = key.cast("string")
+    remark = F.concat(F.lit('x, "'), "p_type", F.lit('"\n\n'), F.col("p_size").cast("string"))
+    cells = (
+        F.when(key % 4 == 0, F.array(number, "p_name"))
+        .when(key % 4 == 1, F.array(number))
+        .when(key % 4 == 2, F.array(number, "p_brand", remark, none))
+        .otherwise(F.array(number, none, F.concat("p_name", F.lit("\r\n")), "p_brand", F.lit("ü")))
+    )
+    quoted = F.transform(
+        cells, lambda c: F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    )
+    spark.read.parquet(f"{sf_dir}/part.parquet").select(F.array_join(quoted, ",").alias("value")).write.text(path)
+    return csv_source.csv_cells(spark, path).select(
+        F.col("cells")[0].cast("bigint").alias("part"), F.size("cells").alias("width"), F.array_join("cells", "|").alias("text")
+    )
+
+
+def _amounts_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    written_as = (
+        F.when(key % 7 == 0, F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+        .when(key % 7 == 1, F.concat(F.lit("+"), key))
+        .when(key % 7 == 2, F.concat(F.lit("-7."), F.lpad(key.cast("string"), 8, "0")))
+        .when(key % 7 == 3, F.concat(F.lit("n/a "), key))
+        .when(key % 7 == 4, F.lit(""))
+        .when(key % 7 == 5, F.concat(F.lit(" "), key, F.lit(".5 ")))
+        .otherwise(F.concat(F.lit("."), key % 10))
+    )
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("id"), money.read_amount(written_as).alias("amount"))
+
+
+def _unassigned_spaces(t: Tables) -> DataFrame:
+    """Every third space has no account: its sales stay, under no account."""
+    t.spacereference = t.spacereference.filter("spaceid % 3 <> 0")
+    return _settlement_rows(t).groupBy("account_id").agg(
+        F.count("*").alias("anzahl_tx"),
+        money.total(F.col("brutto_gross")).alias("brutto"),
+        F.count_if(F.col("settlement_state") == "NO_RECORD").alias("offen"),
+    )
+
+
+def _stored_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export over tables stored by month and bucketed by transaction."""
+    database = f"stored_{uuid.uuid4().hex}"
+    stored = layout.write_tables(derived_tables(spark, sf_dir), database, scratch_path(spark, "stored"), 4, layout.MONTH)
+    return reports.transaction_export(stored, *PERIOD, columns=reports.EXPORT_COLUMNS.keys())
+
+
+def _terminal_blocks(t: Tables) -> DataFrame:
+    return blocks.terminal_export_blocks(terminal.terminal_group_report(_terminal_rows(t)))
+
+
+def _displayed(t: Tables) -> DataFrame:
+    return blocks.display_cells(_terminal_blocks(t)).select(
+        "waehrung", "block_no", "row_no", "kind",
+        F.array_join("cells", ";").alias("cells"), F.array_join("alignment", ";").alias("alignment"),
+    )
+
+
+def _nested_terminals(t: Tables) -> DataFrame:
+    brand = lambda b: F.concat(
+        b["brand"], F.lit(" ("), b["brand_group"], F.lit("): "), b["complete_demand"].cast("string"), F.lit(" / "), b["count"].cast("string")
+    )
+    return terminal.terminals_with_brands(_terminal_rows(t)).withColumn("brands", F.array_join(F.transform("brands", brand), "; "))
+
+
 def _amount_texts(t: Tables) -> DataFrame:
     fee = F.col("completedamount") * F.lit("-0.0095").cast("decimal(5,4)")
     return t.transaction.select(
@@ -176,6 +257,15 @@ def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _saved_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored list after a delivery that was saved twice."""
+    table = VersionedTable(spark, scratch_path(spark, "terminals"), terminals.STORED)
+    table.replace(derived_logs.stored_terminals(spark, sf_dir), table.current(), "load")
+    for _ in range(2):
+        terminals.save_delivery(table, derived_logs.delivered_terminals(spark, sf_dir), "delivery")
+    return table.rows()
+
+
 def _selected_for_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminals.select_for_space(derived_logs.stored_terminals(spark, sf_dir), 8, True)
 
@@ -190,13 +280,13 @@ def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _llm() -> tuple[dict[str, Query], dict[str, str]]:
-    """The training-data queries and their SQL; none where that subpackage is not there."""
+    """The training-data queries and their SQL; none where that subpackage, or what it needs, is not there."""
     try:
         import corpus_pipeline
         from kassenwerk.llm import registry
-    except ModuleNotFoundError as missing:
+    except ImportError as missing:
         if missing.name not in ("kassenwerk.llm", "corpus_pipeline"):
-            raise
+            warnings.warn(f"no training-data queries: {missing}", stacklevel=2)
         return {}, {}
     sql = registry.oracle_sql()
     if corpus_pipeline.ORACLE_SQL:
@@ -222,6 +312,7 @@ def _reference_queries() -> dict[str, Query]:
         "transaction_export_terminals": _on_tables(
             lambda t: reports.transaction_export(t, *PERIOD, TERMINALS)
         ),
+        "transaction_export_stored": _stored_export,
         "card_search": _on_tables(lambda t: reports.card_search(t, *PERIOD, CARD)),
         "card_search_terminals": _on_tables(
             lambda t: reports.card_search(t, *PERIOD, CARD, TERMINALS)
@@ -239,6 +330,7 @@ def _reference_queries() -> dict[str, Query]:
             lambda t: terminal.terminal_group_report(_terminal_rows(t))
         ),
         "terminal_group_report_mapped": _on_tables(_mapped_groups),
+        "terminal_group_report_nested": _on_tables(_nested_terminals),
         "merged_outlets": _on_tables(
             lambda t: terminal.merged_outlets(_terminal_rows(t), _saved_outlets(t))
         ),
@@ -258,6 +350,10 @@ def _reference_queries() -> dict[str, Query]:
             )
         ),
         "terminal_csv_roundtrip": _terminal_csv,
+        "terminal_csv_defaults": _old_terminal_csv,
+        "csv_cells_ragged": _ragged_csv,
+        "display_cells": _on_tables(_displayed),
+        "cell_types": _on_tables(lambda t: blocks.cell_types(_terminal_blocks(t))),
         # Settlement report model
         "settlement_overview": _on_tables(
             lambda t: _day_text(_overview(t).drop("waehrungen"), "datum")
@@ -278,6 +374,7 @@ def _reference_queries() -> dict[str, Query]:
         ),
         "settlement_refusals": _on_tables(_refusals),
         "settlement_csv_roundtrip": _settlement_csv,
+        "settlement_unassigned_spaces": _on_tables(_unassigned_spaces),
         # Per-transaction sides
         "tip_per_transaction": _on_tables(lambda t: enrich.tips(t, _tx(t), SPACES)),
         "card_per_transaction": _on_tables(lambda t: enrich.cards(t, _tx(t), SPACES)),
@@ -308,9 +405,11 @@ def _reference_queries() -> dict[str, Query]:
         "tip_inclusion_check": _on_tables(lambda t: checks.tip_inclusion_check(t, *PERIOD, SAMPLE_ROWS)),
         # Expressions
         "amount_texts": _on_tables(_amount_texts),
+        "amount_reader": _amounts_read,
         "outlet_names": _outlet_names,
         # Terminal list and run log
         "terminal_upsert": _upserted,
+        "terminal_list_saved": _saved_list,
         "terminal_upsert_counts": lambda s, d: terminals.upsert_counts(_upserted(s, d)),
         "terminal_selection": _selected_for_space,
         "terminal_selection_count": lambda s, d: terminals.changed_count(_selected_for_space(s, d)),

@@ -68,13 +68,34 @@ def run_log_rows(submissions: DataFrame) -> DataFrame:
     )
 
 
+def _newest_segment(log: DataFrame, limit: int) -> DataFrame:
+    """The end of the log, from its newest entry back until it names ``limit`` tokens.
+
+    Looked at in segments that are four times as long each time. A token whose last entry is
+    before the segment is older than all in it, so as soon as a segment names enough tokens
+    nothing before it matters. Each look is a range of ``seq``, which files written in order are pruned by.
+    """
+    ends = log.agg(F.min("seq").alias("first"), F.max("seq").alias("last")).first()
+    if ends["last"] is None:
+        return log
+    width = 4 * limit
+    while ends["last"] - width >= ends["first"]:
+        segment = log.filter(F.col("seq") > ends["last"] - width)
+        if segment.select("token").distinct().limit(limit).count() == limit:
+            return segment
+        width *= 4
+    return log
+
+
 def newest_runs(log: DataFrame, limit: int | None = None) -> DataFrame:
     """The most recent runs, newest first, each token once with its latest entry.
 
-    ``seq`` is the order of insertion. A token logged again moves to the front. Only the
-    token and its latest ``seq`` are aggregated; the winners, at most ``limit`` if there is
-    one, then pick their full entries from the log.
+    ``seq`` is the order of insertion. A token logged again moves to the front. With a limit only
+    the end of the log that holds so many tokens is read. There the token and its latest ``seq`` are
+    aggregated, and the winners, at most ``limit``, pick their full entries.
     """
+    if limit is not None:
+        log = _newest_segment(log, limit)
     winners = log.groupBy("token").agg(F.max("seq").alias("seq"))
     if limit is not None:
         winners = F.broadcast(winners.orderBy(F.desc("seq")).limit(limit))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kassenwerk.functions.text import belongs_to_space, blank_to_null
+from kassenwerk.session import written
+from kassenwerk.sources.versioned import VersionedTable
 
 # What happened to a terminal.
 NEW, UPDATED, KEPT = "new", "updated", "kept"
@@ -78,3 +80,30 @@ def select_for_space(terminals: DataFrame, space_id: str | int | None, selected:
 
 def changed_count(terminals: DataFrame) -> DataFrame:
     return terminals.agg(F.count_if("changed").alias("geaendert"))
+
+
+STORED = "id string, label string, selected boolean, space string, space_id string"
+
+
+def save_delivery(stored: VersionedTable, delivered: DataFrame, operation: str) -> DataFrame:
+    """Merge a delivery into the stored list for good, and say how many terminals are new and updated.
+
+    A delivery that is saved again under the same name of its operation changes nothing.
+    """
+    read = stored.current()
+    if operation in read.operations:
+        return upsert_counts(stored.rows(read).limit(0).withColumn("change", F.lit(KEPT)))
+    merged = written(upsert_terminals(stored.rows(read), delivered), "merged")
+    stored.replace(merged, read, operation)
+    return upsert_counts(merged)
+
+
+def save_selection(stored: VersionedTable, space_id: str | int | None, selected: bool, operation: str) -> DataFrame:
+    """Set the selection of one space's terminals for good; a version is written only if any changes."""
+    read = stored.current()
+    if operation in read.operations:
+        return changed_count(stored.rows(read).limit(0).withColumn("changed", F.lit(False)))
+    chosen = written(select_for_space(stored.rows(read), space_id, selected), "selected")
+    if not chosen.filter("changed").isEmpty():
+        stored.replace(chosen, read, operation)
+    return changed_count(chosen)

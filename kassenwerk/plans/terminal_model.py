@@ -142,6 +142,39 @@ def terminal_group_report(
     return report.orderBy(level_order(F.col("level")), *fixed, *german, "tid", "brand")
 
 
+def terminals_with_brands(
+    rows: DataFrame,
+    outlets: DataFrame | None = None,
+    brand_groups: DataFrame | None = None,
+    default_brand_group: str = DEFAULT_BRAND_GROUP,
+    by_currency: bool = True,
+    ordered: bool = True,
+) -> DataFrame:
+    """One row per outlet and terminal, with its totals and its brands in German order.
+
+    A terminal with several brands is one row, however often it was renamed (its smallest name
+    counts); ``brands`` has brand, brand_group and the measures of each. Groups and currencies are as in the
+    grouped report, whose detail level holds the same amounts.
+    """
+    grouped = grouped_rows(rows, outlets, brand_groups, default_brand_group)
+    fixed = ["waehrung"] if by_currency else []
+    whole = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    measures = lambda gross: [
+        total_or_zero(F.col(gross)).alias("complete_demand"), total_or_zero(F.col("tip")).alias("tip"), whole("unmatched"), whole("count"),
+    ]
+    by_brand = grouped.groupBy(*fixed, "outlet", "tid", "brand_group", "brand").agg(F.min("name").alias("name"), *measures("gross"))
+    # As many brands as a terminal has: a few.
+    named = F.struct(F.collate(F.col("brand"), "de").alias("_order"), "brand", "brand_group", "complete_demand", "tip", "unmatched", "count")
+    nested = by_brand.groupBy(*fixed, "outlet", "tid").agg(
+        F.min("name").alias("name"), *measures("complete_demand"), F.sort_array(F.collect_list(named)).alias("brands")
+    )
+    brands = F.transform("brands", lambda b: b.dropFields("_order"))
+    report = nested.select(*fixed, "outlet", "tid", "name", "complete_demand", "tip", "unmatched", "count", brands.alias("brands"))
+    if not ordered:
+        return report
+    return report.orderBy(*fixed, F.collate("outlet", "de"), F.collate("name", "de"), "tid")
+
+
 def level_order(level: Column) -> Column:
     """Outlet totals, brand group totals, grand total, detail - the order of the blocks."""
     return (

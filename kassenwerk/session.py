@@ -24,8 +24,39 @@ def shuffle_partitions_for(input_bytes: int, minimum: int = 8) -> int:
     return max(minimum, math.ceil(input_bytes / SHUFFLE_PARTITION_BYTES))
 
 
+# A report's ids are sketched with this many bits each (a false hit in some 40), and never with more in all: 64 MiB.
+SKETCH_BITS, MOST_SKETCH_BITS = 8, 512 * MIB
+
+
+def membership_settings(report_ids: int, fact_bytes: int = 1024 * MIB) -> dict[str, str]:
+    """Settings under which Spark filters scans by a Bloom sketch of a report's ids.
+
+    Line items, charges and records of all history are semi-joined to a report's transactions. Where the
+    ids are too many to be broadcast, both sides would be shuffled in full; with these
+    settings a sketch of the ids goes to every scan of at least ``fact_bytes`` first, so that
+    little more than the report's rows is shuffled. ``report_ids`` is how many ids a report has; with far
+    more than that the sketch lets too much pass, though never too little.
+    """
+    bits = min(MOST_SKETCH_BITS, report_ids * SKETCH_BITS)
+    prefix = "spark.sql.optimizer.runtime.bloomFilter"
+    return {
+        f"{prefix}.enabled": "true",
+        f"{prefix}.applicationSideScanSizeThreshold": str(fact_bytes),
+        # The ids come from a scan of the transactions, of whose size only a part are ids.
+        f"{prefix}.creationSideThreshold": str(1024 * 1024 * MIB),
+        f"{prefix}.expectedNumItems": str(report_ids),
+        f"{prefix}.maxNumItems": str(max(report_ids, MOST_SKETCH_BITS // SKETCH_BITS)),
+        f"{prefix}.maxNumBits": str(bits),
+        f"{prefix}.numBits": str(bits),
+    }
+
+
 def build_session(
-    app: str = "kassenwerk", master: str | None = None, input_bytes: int | None = None, ui: bool = True
+    app: str = "kassenwerk",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    ui: bool = True,
+    report_ids: int = 10_000_000,
 ) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -38,6 +69,8 @@ def build_session(
         # Joins whose measured partitions are small hash them instead of sorting both sides.
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(64 * MIB))
     )
+    for name, value in membership_settings(report_ids).items():
+        builder = builder.config(name, value)
     if not ui:
         builder = builder.config("spark.ui.enabled", "false")
     if master is not None:

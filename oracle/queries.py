@@ -327,12 +327,46 @@ SELECT 'tok-' || event_id AS token,
        CASE WHEN event_id % 3 = 2 THEN '' WHEN event_id % 4 = 0 THEN 'SUCCESS' WHEN event_id % 4 = 1 THEN 'PROCESSING'
             ELSE 'FAILED' END AS status FROM events"""
 CH = "’"
+NESTED = """
+SELECT waehrung, outlet, tid, min(name) AS name, sum(complete_demand) AS complete_demand, sum(tip) AS tip,
+       CAST(sum(unmatched) AS BIGINT) AS unmatched, CAST(sum(count) AS BIGINT) AS count,
+       string_agg(brand || ' (' || brand_group || '): ' || CAST(CAST(complete_demand AS DECIMAL(38,8)) AS VARCHAR) || ' / ' || count,
+                  '; ' ORDER BY brand) AS brands
+FROM groups WHERE level = 'detail' GROUP BY 1, 2, 3"""
+CELL_TYPES = """
+SELECT block_no, block, row_no, unnest(range(0, len(c))) AS column_no, unnest(c) AS cell, unnest(string_split(types, ';')) AS cell_type
+FROM (SELECT *, string_split(cells, ';') AS c FROM terminal_blocks)"""
+RAGGED = """
+SELECT p_partkey AS part, len(c) AS width, array_to_string(c, '|') AS text
+FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN [k, p_name] WHEN 1 THEN [k]
+             WHEN 2 THEN [k, p_brand, 'x, "' || p_type || '"' || chr(10) || chr(10) || p_size, '']
+             ELSE [k, '', p_name || chr(13) || chr(10), p_brand, 'ü'] END AS c
+      FROM (SELECT *, CAST(p_partkey AS VARCHAR) AS k FROM part))"""
+AMOUNTS_READ = """
+SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,8))
+       WHEN 1 THEN CAST(o_orderkey AS DECIMAL(38,8)) WHEN 2 THEN CAST('-7.' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS DECIMAL(38,8))
+       WHEN 5 THEN CAST(o_orderkey || '.5' AS DECIMAL(38,8)) WHEN 6 THEN CAST('0.' || (o_orderkey % 10) AS DECIMAL(38,8))
+       ELSE CAST(0 AS DECIMAL(38,8)) END AS amount FROM orders"""
+UNASSIGNED = """
+SELECT sr.accountid AS account_id, count(*) AS anzahl_tx, sum(tx.completedamount) AS brutto,
+       count(*) FILTER (WHERE s.transaction_id IS NULL) AS offen
+FROM tx LEFT JOIN (SELECT * FROM sr WHERE spaceid % 3 <> 0) sr ON sr.spaceid = tx.spaceid
+     LEFT JOIN settle s ON s.transaction_id = tx.id GROUP BY 1"""
 
 
 def _swiss(amount: str) -> str:
     return f"replace(format('{{:,.2f}}', CAST(round({amount}, 2) AS DOUBLE)), ',', '{CH}')"
 
 
+def _displayed(cells: str, types: str) -> str:
+    numbers = f"{_swiss('complete_demand')}, {_swiss('tip')}, replace(format('{{:,}}', unmatched), ',', '{CH}'), replace(format('{{:,}}', count), ',', '{CH}')"
+    shown = TERMINAL_BLOCKS.replace(_GROUP_NUMBERS, numbers)
+    return f"""
+SELECT waehrung, block_no, row_no, kind, {cells} AS cells,
+       array_to_string(list_transform(string_split({types}, ';'), lambda x: CASE WHEN x = 'text' THEN 'left' ELSE 'right' END), ';') AS alignment
+FROM ({shown})"""
+
+
 ORACLE = {
     "brand_report": with_tables(
         f"""SELECT spaceid AS space_id, brand, currency AS waehrung, {_MEASURES}
@@ -375,6 +409,16 @@ FROM branded b LEFT JOIN card c ON c.transaction_id = b.id LEFT JOIN (
   ASOF LEFT JOIN w ON w.createdon >= l.valuedate) s ON s.transaction_id = b.id""", **SIDES),
     "terminal_group_report": with_tables("SELECT * FROM groups", **GROUPS),
     "terminal_csv_roundtrip": with_tables("SELECT * FROM groups", **GROUPS),
+    "terminal_group_report_nested": with_tables(NESTED, **GROUPS),
+    "terminal_csv_defaults": with_tables(
+        """SELECT terminal_identifier, terminal_name, brand, 'CHF' AS waehrung, CAST(0 AS BIGINT) AS anzahl_transaktionen,
+       unsettled_anzahl, brutto_gross, tip_total FROM terminal_rows""", **SIDES, terminal_rows=TERMINAL_ROWS),
+    "csv_cells_ragged": RAGGED,
+    "display_cells": with_tables(_displayed("cells", "types"), **GROUPS),
+    "cell_types": with_tables(CELL_TYPES, **GROUPS, terminal_blocks=TERMINAL_BLOCKS),
+    "settlement_unassigned_spaces": with_tables(UNASSIGNED, tx=TX, bank=BANK, settle=SETTLE),
+    "amount_reader": AMOUNTS_READ,
+    "terminal_list_saved": with_tables("SELECT id, label, selected, space, space_id FROM merged", **UPSERT_TABLES),
     "terminal_group_report_mapped": with_tables(
         _groups(SAVED_OUTLET, SAVED_GROUP), **SIDES, terminal_rows=TERMINAL_ROWS),
     "merged_outlets": with_tables(
@@ -482,3 +526,4 @@ FROM ({ANSWERS})""",
     "newest_runs": with_tables(NEWEST, runs=RUNS),
     "newest_runs_of_mode": with_tables(f"SELECT * FROM ({NEWEST}) WHERE mode = 'card'", runs=RUNS),
 }
+ORACLE["transaction_export_stored"] = ORACLE["transaction_export"]

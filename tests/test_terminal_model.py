@@ -145,3 +145,28 @@ def test_merged_mappings_prefer_saved_names_over_the_rule(spark, sample):
     groups = dict(model.merged_brand_groups(sample, brands).collect())
     assert (groups["Brand 1"], groups["Brand 2"], groups["Lunch Check"]) == ("Mobile", "Default", "Lunch-Check")
     assert set(dict(model.merged_outlets(sample).collect()).values()) == {g[0] for g in GOLDEN}
+
+
+def test_a_terminal_with_several_brands_is_one_row(sample):
+    nested = model.terminals_with_brands(sample).collect()
+    assert len({(r.outlet, r.tid) for r in nested}) == len(nested) == len({r.terminal_identifier for r in sample.collect()})
+    assert tuple(sum(figures(r)[i] for r in nested) for i in range(4)) == GRAND
+    for r in nested:
+        assert figures(r) == tuple(sum(figures(b)[i] for b in r.brands) for i in range(4))
+    garden = next(r for r in nested if r.tid == "Dachgarten/1")
+    assert {b.brand_group for b in garden.brands} == {"Default", "Lunch-Check"} and len(garden.brands) > 1
+
+
+def test_nested_terminals_in_german_order_with_renamed_ones(terminal_rows):
+    rows = terminal_rows(
+        ("T1", "Öse 2", "Zoll", 1, 0, "5", "1"), ("T1", "Öse 2", "Äpfel", 2, 1, "7", "0"), ("T1", "Öse 2", "Birne", 1, 0, "1", "0"),
+        ("T1", "Öse 1", "Zoll", 1, 0, "2", "0"), ("T2", "Pult 1", "Zoll", 1, 0, "3", "0"), ("T3", "Oase", "Zoll", 1, 0, "4", "0", "EUR"),
+    )
+    nested = model.terminals_with_brands(rows).collect()
+    assert [(r.waehrung, r.outlet, r.tid, r.name) for r in nested] == [
+        ("CHF", "Öse", "T1", "Öse 1"), ("CHF", "Pult", "T2", "Pult 1"), ("EUR", "Oase", "T3", "Oase"),
+    ]
+    assert [(b.brand, b.complete_demand, b["count"]) for b in nested[0].brands] == [("Äpfel", 7, 2), ("Birne", 1, 1), ("Zoll", 7, 2)]
+    merged = model.terminals_with_brands(rows, by_currency=False).collect()
+    assert [r.outlet for r in merged] == ["Oase", "Öse", "Pult"] and "waehrung" not in merged[0].asDict()
+    assert model.terminals_with_brands(rows.limit(0)).count() == 0
