@@ -1,20 +1,22 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document is its set of word shingles. The shingles' hashes fall into ``REGISTERS`` bins, and a register
-keeps its bin's smallest hash as a count of leading zeros and ten mantissa bits. Equal sets
-become one class first, so a group of exact copies counts once. Bands of ``ROWS``
-registers put classes into buckets; there empty registers borrow from filled ones. Candidates pass an estimate from their registers, corrected for registers that
-agree by chance, and are then confirmed on their full sets.
-
-No bucket is paired with itself. In a first round every class of a bucket meets the
-bucket's smallest one; in the next rounds, only buckets that still hold several components matter, and their
-classes meet the member with the most links. What then is still apart meets all other
-components' members of its bucket; buckets with many classes left are first cut by a second
-band (classes that are similar share many bands). So a group of near copies costs a few
-links per class, and no link between components is left out.
-
-A class pair of the least similarity 0.8 shares no band with a probability of 3e-6, and
-is estimated below ``LEAST_ESTIMATE`` with one far smaller.
+keeps its bin's smallest hash as a count of leading zeros and ten mantissa bits; empty bins take
+no space. Equal sets become one class first, so a group of exact copies counts once. Bands of
+``ROWS`` registers put classes into buckets; there empty registers borrow from filled ones.
+Candidates pass an estimate from their registers, corrected for registers that agree by
+chance, and are then confirmed on their full sets.
+
+In a first round every class of a bucket meets the bucket's smallest one, which joins most of a group of
+near copies. Only buckets that then still hold several components go on: their members are dealt into
+blocks of ``BLOCK``, and the registers of a block, or of two blocks, are compared inside one task. What leaves
+it are only pairs of different components that are likely links, each from the first
+bucket that the two share. So no pair is put out for being in one bucket, and no link between
+components is left out.
+
+A class pair of the least similarity 0.8 shares no band with a probability of 3e-6. How far an
+estimate may fall short of it is ``SPREAD`` standard deviations of what the registers sample: a
+pair is missed with a probability of less than one in a million.
 
 Null texts and texts without words have an empty set: linked with nothing, kept. Rows with
 the same id are one document. Rows without id have no component; they are kept. Ties
@@ -35,11 +37,12 @@ from pyspark.sql import functions as F
 from kassenwerk.llm.texts import WordHashes, mix, pair_hash, runs, utf8
 from kassenwerk.session import written
 
-REGISTERS, ROWS, MANTISSA = 256, 6, 10
-BANDS = REGISTERS // ROWS
-LEAST_ESTIMATE = 0.6
-STAR_ROUNDS, FEW = 3, 48
+REGISTERS, ROWS, MANTISSA = 1024, 6, 10
+BANDS = 42
+SPREAD = 5
 SHARE = 80  # of 100
+BLOCK = 2048  # classes of a bucket that one task compares with as many others
+FEW_IDS = 1_000_000  # that are broadcast to pick texts; a long each
 SLICE = 4 << 20
 _PROFILE = "doc_id long, n_shingles long, high long, low long, registers binary"
 
@@ -83,9 +86,30 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     Two different minima agree in their zeros with probability 1/3 (the sum of 4**-k) and in
     all mantissa bits with 2**-MANTISSA; that share of agreements is taken off.
     """
-    used = np.maximum(((a > 0) | (b > 0)).sum(1), 1)
+    used = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
+    return _corrected(((a == b) & (a > 0)).sum(-1), used)
+
+
+def _corrected(same: np.ndarray, used: np.ndarray) -> np.ndarray:
     chance = 2.0**-MANTISSA / 3
-    return np.clip((((a == b) & (a > 0)).sum(1) / used - chance) / (1 - chance), 0, 1)
+    return np.clip((same / used - chance) / (1 - chance), 0, 1)
+
+
+def likely(same: np.ndarray, used: np.ndarray, sizes: np.ndarray, share: int) -> np.ndarray:
+    """Whether pairs with so many equal and used registers, of sets of ``sizes`` in all, may be links.
+
+    The registers are a sample of the union, without replacement: those of a union smaller than the number
+    of bins are nearly all of it.
+    """
+    least = share / 100
+    union = np.maximum(sizes / (1 + least), 1)
+    unseen = np.clip(1 - used / union, 0.02, 1)
+    return _corrected(same, used) >= least - SPREAD * np.sqrt(least * (1 - least) / used * unseen)
+
+
+def packed(row: np.ndarray) -> bytes:
+    """A map of the filled registers, and their values."""
+    return np.packbits(row > 0).tobytes() + row[row > 0].tobytes()
 
 
 def _profiles(size: int):
@@ -99,7 +123,7 @@ def _profiles(size: int):
                     counts.append(len(found))
                     high.append(int.from_bytes(digest[:8], "big", signed=True))
                     low.append(int.from_bytes(digest[8:], "big", signed=True))
-                    kept.append(registers(found).tobytes())
+                    kept.append(packed(registers(found)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(kept, pa.binary())],
                 ["doc_id", "n_shingles", "high", "low", "registers"],
@@ -109,27 +133,31 @@ def _profiles(size: int):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    out = np.zeros((len(column), REGISTERS), np.uint16)
+    for row, value in zip(out, column.to_pylist(), strict=True):
+        filled = np.unpackbits(np.frombuffer(value, np.uint8, REGISTERS // 8)).view(bool)
+        row[filled] = np.frombuffer(value, np.uint16, offset=REGISTERS // 8)
+    return out
 
 
 def _orders() -> np.ndarray:
-    """For each bin, all bins in an order of its own: column i is where bin i looks."""
+    """For each bin that bands use, all bins in an order of its own: column i is where bin i looks."""
     bins = np.arange(REGISTERS, dtype=np.uint64)
-    return np.argsort(pair_hash(bins[:, None], bins[None, :]), axis=0)
+    return np.argsort(pair_hash(bins[:, None], bins[None, : BANDS * ROWS]), axis=0)
 
 
 _ORDERS = _orders()
 
 
 def _filled(m: np.ndarray) -> np.ndarray:
-    """Registers with the empty ones filled: an empty bin takes the value of the first filled bin of its order.
+    """The bands' registers with the empty ones filled: an empty bin takes the value of the first filled bin of its order.
 
     Without this a short text's band would hold one or two values and lie in a bucket with every
     text that has the same frequent words. So registers of two texts agree as often as their
     sets are similar, however short they are. Texts without any shingle stay empty.
     """
-    out = m.copy()
-    row, at = np.nonzero((m == 0) & m.any(1)[:, None])
+    out = m[:, : BANDS * ROWS].copy()
+    row, at = np.nonzero((out == 0) & m.any(1)[:, None])
     for turn in range(REGISTERS):
         if not len(row):
             break
@@ -142,7 +170,7 @@ def _filled(m: np.ndarray) -> np.ndarray:
 
 def _band_keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash per row and band, and whether the band has a register that is not empty."""
-    x = _filled(m)[:, : BANDS * ROWS].reshape(len(m), BANDS, ROWS).astype(np.uint64)
+    x = _filled(m).reshape(len(m), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), x.shape[:2])
     for i in range(ROWS):
         key = pair_hash(key, x[:, :, i])
@@ -151,28 +179,56 @@ def _band_keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, live = _band_keys(_matrix(batch.column("registers")))
-        ids = np.repeat(batch.column("rep").to_numpy(), BANDS).reshape(keys.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[live]), pa.array(ids[live])], ["bucket", "rep"])
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            keys, live = _band_keys(_matrix(part.column("registers")))
+            ids = np.repeat(part.column("rep").to_numpy(), BANDS).reshape(keys.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[live]), pa.array(ids[live])], ["bucket", "rep"])
 
 
-def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket members once for each of their bands: the bucket is cut by that band."""
-    for batch in batches:
-        keys, live = _band_keys(_matrix(batch.column("registers")))
-        bucket = batch.column("bucket").to_numpy().view(np.uint64)[:, None]
-        finer = pair_hash(np.broadcast_to(bucket, keys.shape), keys.view(np.uint64)).view(np.int64)
-        repeat = lambda name: np.repeat(batch.column(name).to_numpy(), BANDS).reshape(keys.shape)[live]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(finer[live]), pa.array(repeat("rep")), pa.array(repeat("component"))], ["bucket", "rep", "component"]
-        )
+def _likely(share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                a, b = _matrix(part.column("ra")), _matrix(part.column("rb"))
+                same, used = ((a == b) & (a > 0)).sum(1), ((a > 0) | (b > 0)).sum(1)
+                sizes = part.column("na").to_numpy() + part.column("nb").to_numpy()
+                yield part.select(["a", "b"]).filter(pa.array(likely(same, np.maximum(used, 1), sizes, share)))
 
+    return run
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            good = estimate(_matrix(batch.column("ra")), _matrix(batch.column("rb"))) >= LEAST_ESTIMATE
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+def _compared(share: int):
+    """Likely links between the components of one block of a bucket, or of two blocks."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        column = lambda name: table.column(name).to_numpy()
+        bucket, first, second = (k.as_py() for k in key)
+        rep, component, size, block = (column(n) for n in ("rep", "component", "n", "own"))
+        m = _matrix(table.column("registers").combine_chunks())
+        keys, _ = _band_keys(m)
+        filled, found = (m > 0).sum(1), ([], [])
+        order = np.argsort(rep, kind="stable")
+        for x in np.flatnonzero(block == first):
+            # Within one block each pair once, between two blocks all.
+            others = order[np.searchsorted(rep[order], rep[x], "right") :] if first == second else np.flatnonzero(block == second)
+            others = others[component[others] != component[x]]
+            if not len(others):
+                continue
+            there = m[x] > 0
+            mine = m[np.ix_(others, np.flatnonzero(there))]
+            same = (mine == m[x][there]).sum(1)
+            used = filled[x] + filled[others] - (mine > 0).sum(1)
+            others = others[likely(same, np.maximum(used, 1), size[x] + size[others], share)]
+            shared = keys[others] == keys[x]
+            own = shared & (np.cumsum(shared, 1) == 1) & (keys[others] == bucket)
+            for y in others[own.any(1)]:
+                found[0].append(min(rep[x], rep[y]))
+                found[1].append(max(rep[x], rep[y]))
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+    return run
 
 
 def _sets(size: int):
@@ -243,7 +299,7 @@ class _Search:
         some = self.profiles.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         self.classes = written(some.groupBy("high", "low").agg(F.min("doc_id").alias("rep")), "classes")
         reps = some.join(self.classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "high", "low"], "left_semi")
-        reps = reps.select(F.col("doc_id").alias("rep"), "registers")
+        reps = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "registers")
         banded = reps.mapInArrow(_bands, "bucket long, rep long")
         shared = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot != top")
         self.members = written(banded.join(shared.drop("top"), "bucket").distinct(), "members")
@@ -252,102 +308,47 @@ class _Search:
         several = some.join(ids, "doc_id", "left_semi").join(self.classes, ["high", "low"])
         self.same_id = several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
         self.registers = written(reps.join(self.members.select("rep").distinct(), "rep", "left_semi"), "registers")
-        self.shingles: list[DataFrame] = []
-
-    def _likely(self, pairs: DataFrame) -> tuple[DataFrame, Row]:
-        a = self.registers.select(F.col("rep").alias("a"), F.col("registers").alias("ra"))
-        b = self.registers.select(F.col("rep").alias("b"), F.col("registers").alias("rb"))
-        return counted(pairs.join(a, "a").join(b, "b").mapInArrow(_likely, "a long, b long").distinct(), "likely")
-
-    def _shingles(self, likely: DataFrame) -> DataFrame:
-        """The sets of all that ``likely`` names; texts are read for those not met before."""
-        ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        for known in self.shingles:
-            ids = ids.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+
+    def _shingles(self, pairs: DataFrame) -> DataFrame:
+        """The sets of all that ``pairs`` names."""
+        ids, total = counted(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        # Few ids go to the texts; more have the texts sent to them once.
+        ids = F.broadcast(ids) if total.n <= FEW_IDS else ids
         wanted = self.texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.size), "rep long, shingles binary")
-        self.shingles.append(written(wanted, "shingles"))
-        every = self.shingles[0]
-        for more in self.shingles[1:]:
-            every = every.unionByName(more)
-        return every
-
-    def confirmed(self, pairs: DataFrame) -> tuple[DataFrame, int]:
-        """The pairs that are links, and their number."""
-        likely, total = self._likely(pairs)
-        if not total.n:
-            return likely, 0
-        found = self._shingles(likely)
+        return written(wanted, "shingles")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are links."""
+        found = self._shingles(pairs)
         a = found.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
         b = found.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-        links = likely.join(a, "a").join(b, "b").mapInArrow(_confirmed(self.share), "a long, b long")
-        links, total = counted(links.distinct(), "links")
-        return links, total.n
+        links = pairs.join(a, "a").join(b, "b").mapInArrow(_confirmed(self.share), "a long, b long")
+        return written(links.distinct(), "links")
 
     def _open(self, linked: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components."""
+        """Members of buckets that hold several components, with the bucket's number of members."""
         placed = self.members.select("bucket", "rep").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        return self._several(placed)
+        apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("all"))
+        return placed.join(apart.filter("x != y").select("bucket", "all"), "bucket")
 
-    @staticmethod
-    def _several(placed: DataFrame) -> DataFrame:
-        apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-        return placed.join(apart.select("bucket"), "bucket", "left_semi")
+    def _across(self, members: DataFrame) -> DataFrame:
+        """Likely links between different components that share a bucket."""
+        blocks = F.ceil(F.col("all") / BLOCK)
+        own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+        dealt = members.select("bucket", "rep", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("with"))
+        dealt = dealt.select("bucket", "rep", "component", "own", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"))
+        return dealt.join(self.registers, "rep").groupBy("bucket", "first", "second").applyInArrow(_compared(self.share), "a long, b long")
 
     def linked(self) -> DataFrame:
         """``rep`` and ``component`` of every class that has links."""
         pairs = self.members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        seen = written(pairs, "pairs")
-        found, _ = self.confirmed(seen)
-        found = found.unionByName(self.same_id)
+        side = lambda x: self.registers.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+        stars = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(self.share), "a long, b long")
+        stars, total = counted(stars, "stars")
+        found = self.confirmed(stars).unionByName(self.same_id) if total.n else self.same_id
         linked = components(found)
-        members, total = counted(self._open(linked), "open")
-        for _ in range(STAR_ROUNDS - 1):
-            if not total.n:
-                return linked
-            degree = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-            ranked = members.join(degree, "rep", "left").fillna(0, ["degree"])
-            best = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("back"), "component")).alias("best"))
-            star = members.join(best, "bucket").filter("component != best.component")
-            star = star.select(F.least("rep", -F.col("best.back")).alias("a"), F.greatest("rep", -F.col("best.back")).alias("b"))
-            star, total_star = counted(star.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-            if not total_star.n:
-                break
-            more, n = self.confirmed(star)
-            seen = seen.unionByName(star)
-            if not n:
-                break
-            found = found.unionByName(more)
-            linked = components(_as_links(linked).unionByName(more))
-            members, total = counted(self._open(linked), "open")
-        if not total.n:
-            return linked
-        pairs, total = counted(self._across(members).join(seen, ["a", "b"], "left_anti"), "pairs")
-        if not total.n:
-            return linked
-        more, n = self.confirmed(pairs)
-        return components(_as_links(linked).unionByName(more)) if n else linked
-
-    def _across(self, members: DataFrame) -> DataFrame:
-        """All pairs of different components that a bucket still holds."""
-        pairs = None
-        for depth in range(3):
-            sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-            major = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
-            few = (F.col("all") - F.col("most.n") <= FEW) if depth < 2 else F.lit(True)
-            told = members.join(major, "bucket").select(
-                "bucket", "rep", "component", (F.col("component") != F.col("most.component")).alias("minor"), few.alias("few")
-            )
-            told, total = counted(told, "told", F.count_if(~F.col("few")).alias("many"))
-            now = told.filter("few")
-            minor = now.filter("minor").select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-            other = now.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy"))
-            met = minor.join(other, "bucket").filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            pairs = met if pairs is None else pairs.unionByName(met)
-            if not total.many:
-                break
-            finer = told.filter("NOT few").select("bucket", "rep", "component").join(self.registers, "rep")
-            members = written(self._several(finer.mapInArrow(_finer, "bucket long, rep long, component long").distinct()), "open")
-        return pairs.distinct()
+        rest, total = counted(self._across(self._open(linked)).join(stars, ["a", "b"], "left_anti"), "rest")
+        return components(_as_links(linked).unionByName(self.confirmed(rest))) if total.n else linked
 
     def result(self) -> DataFrame:
         linked = self.linked()
