@@ -154,11 +154,14 @@ def test_packing_round_trip(docs):
 
     path = public_tokenizers.path(packing.TOKENIZER)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    odd = ["It's 1st ÉCOLE été İ ΣΑΣ a\x1cb", "naïve—co-op  \t x<|endoftext|>y", "漢字 kana"]
+    odd = ["It's 1st ÉCOLE été İ ΣΑΣ a\x1cb", "", "naïve—co-op  \t x<|endoftext|>y", "漢字 kana", " \n", "e\u0301 \u0301e a'S 12'll"]
+    odd += ["'t <|endoftext|>", "Ünï÷x ßÀÖØ×öøÿÞ ª²¾\xa0\x85\xad !~'Ré", *(f"x{chr(i)}É{chr(i)}9" for i in range(1, 0x250))]
     words = packing.WordIds(path)
-    for text in odd:
-        assert np.frombuffer(words.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.by_word
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in odd]
+    assert [np.frombuffer(words.encoded(x), "<u4").tolist() for x in odd] == want
+    words.by_word = False
+    assert [np.frombuffer(words.encoded(x), "<u4").tolist() for x in odd] == want
     rows = packing.pack(docs, with_ids=True).collect()
     for r in rows:
         assert r.length == len(r.ids) // 4 <= 2048 and zlib.crc32(r.ids) == r.ids_crc32
@@ -203,6 +206,26 @@ def test_fingerprints(docs):
     assert fingerprints.likeness(a, b)[0] > 0.8 > 0.4 > fingerprints.likeness(a, c)[0]
 
 
+def test_fingerprints_of_rows_without_id_or_repeated(spark):
+    """Neither gathers in one task, and each row has one successor."""
+    ship_package(spark)
+    rows = [(None if i % 3 else 5, prose(i % 40, 30) if i % 2 else "same") for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    lined = []
+    written, fingerprints.written = fingerprints.written, lambda df, label: lined.append(written(df, label)) or lined[-1]
+    found = fingerprints.fingerprints(table).collect()
+    fingerprints.written = written
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert lined[0].filter("edge = 'last'").count() == 6
+    assert Counter((r.doc_id, r.n_chars) for r in found) == Counter((i, len(t)) for i, t in rows)
+    follows = sum(r.near_next == 1 for r in found)
+    assert follows >= len(rows) - len(set(rows))  # all but the last of each group of equal rows
+
+
 def test_languages(spark, docs):
     texts = [("the harbour of the town", "en"), ("der hafen und die stadt", "de")]
     rows = [(i, (texts[i % 2][0] + " ") * 5, texts[i % 2][1]) for i in range(60)]
@@ -270,6 +293,39 @@ def test_warc_round_trip(spark, monkeypatch):
             assert r.verified in (True, None)
 
 
+@pytest.mark.parametrize("split", ["128m", "900b"])
+def test_warc_payloads_of_magic_lines(spark, split):
+    """Payloads that begin, end with and consist of what starts a record, also as copies and without id."""
+    ship_package(spark)
+    magic = "WARC/1.1\r\n"
+    texts = [magic, "\n" + magic, "\r\n\r\n" + magic, magic * 3, "x\r\n" + magic, magic + "\r\n\r\n" + magic + "\n", "\r\n\r", "\n" + magic * 2 + "é"]
+    pages = [(i, f"u{i}", t) for i, t in enumerate([*texts, *texts, None, ""])] + [(None, "u", magic)]
+    path = scratch_path(spark, "test-warc")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    rows = {r.page_id: r for r in warc.read_pages(spark, path).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == len(pages)
+    for i, _, html in pages:
+        body = (html or "").encode()
+        assert rows[i].payload_bytes == len(body) and rows[i].verified in (True, None)
+        assert rows[i].payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode() == rows[i].stated_digest
+    assert rows[len(texts)].refers_to == 0 and rows[None].refers_to == 0 and rows[0].refers_to is None
+
+
+def test_warc_digest_is_that_of_the_bytes_read(spark):
+    ship_package(spark)
+    path = scratch_path(spark, "test-warc")
+    warc.write_warc(spark.createDataFrame([(1, "u", "whole text"), (2, "v", "whole text"), (3, "w", "other")], "page_id long, url string, html string").coalesce(1), path)
+    harmed = scratch_path(spark, "test-warc")
+    text = "\r\n\r\n".join(r.value for r in spark.read.option("lineSep", "\r\n\r\n").text(path).collect()).replace("whole text", "whole tent")
+    spark.createDataFrame([(text,)], "value string").write.option("lineSep", "\r\n\r\n").text(harmed)
+    rows = {r.page_id: r for r in warc.read_pages(spark, harmed).collect()}
+    digest = base64.b32encode(hashlib.sha1(b"whole tent").digest()).decode()
+    assert [rows[i].payload_digest == digest for i in (1, 2, 3)] == [True, True, False]
+    assert [rows[i].verified for i in (1, 2, 3)] == [False, None, True] and rows[1].stated_digest != digest
+
+
 def test_warc_header_longer_than_any_prefix(spark):
     ship_package(spark)
     trap = "<p>\nWARC/1.1\r\n</p>"
