@@ -74,13 +74,17 @@ def _numbered(hashed: DataFrame) -> DataFrame:
     )
 
 
-def _steps(nodes: DataFrame) -> DataFrame:
-    """Each node with the digests of its run that stand left and right of it."""
+def _steps(nodes: DataFrame, keep: list[str]) -> DataFrame:
+    """Each node with the digests of its run that stand left and right of it, and its columns ``keep``."""
     slot = lambda nr: F.pmod(F.col(nr), F.lit(FAN))
-    asked = nodes.select("tree", "last", F.col("nr").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("at"))
-    asked = asked.withColumn("nr", F.col("own") - slot("own") + F.col("at")).filter("nr <= last")
+    asked = nodes.select("tree", "last", F.col("nr").alias("own"), *keep, F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("at"))
+    # What a node keeps goes with one of its questions, digests come with the answers.
+    kept = F.when(F.col("at") == slot("own"), F.struct(F.lit(0).alias("_"), *keep)).alias("kept")
+    asked = asked.select("tree", "last", "own", "at", kept, (F.col("own") - slot("own") + F.col("at")).alias("nr")).filter("nr <= last")
     met = asked.join(nodes.select("tree", "nr", "digest"), ["tree", "nr"])
-    runs = met.groupBy("tree", "last", "own").agg(F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("run"))
+    runs = met.groupBy("tree", "last", "own").agg(
+        F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("run"), F.first("kept", ignorenulls=True).alias("kept")
+    )
     joined = lambda keep: F.aggregate(
         F.filter("run", keep), F.lit("").cast("binary"), lambda all_, s: F.concat(all_, s["digest"])
     )
@@ -91,21 +95,23 @@ def _steps(nodes: DataFrame) -> DataFrame:
         F.element_at(F.filter("run", lambda s: s["at"] == slot("own")), 1)["digest"].alias("digest"),
         joined(lambda s: s["at"] < slot("own")).alias("left"),
         joined(lambda s: s["at"] > slot("own")).alias("right"),
+        *[F.col(f"kept.{c}").alias(c) for c in keep],
     )
 
 
-def climb(leaves: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def climb(leaves: DataFrame, keep: list[str]) -> tuple[list[DataFrame], DataFrame]:
     """The levels' tables (tree, nr, last, digest, left, right), lowest first, and the roots (tree, digest, height).
 
-    ``leaves``: tree, nr (0, 1, ... in each tree), last (its tree's highest nr), digest (bytes).
+    ``leaves``: tree, nr (0, 1, ... in each tree), last (its tree's highest nr), digest (bytes) and columns
+    ``keep`` that stay with the lowest level. A tree of one leaf is in no level.
     """
     levels: list[DataFrame] = []
-    nodes = leaves.select("tree", "nr", "last", "digest")
+    nodes = leaves.select("tree", "nr", "last", "digest", *keep)
     highest = nodes.agg(F.max("last")).first()[0] or 0
     told = lambda: nodes.filter("last = 0").select("tree", "digest", F.lit(len(levels)).alias("height"))
     roots = told()
     while highest:
-        level = written(_steps(nodes.filter("last > 0")), "merkle")
+        level = written(_steps(nodes.filter("last > 0"), [] if levels else keep), "merkle")
         levels.append(level)
         run = F.concat(_text(F.col("digest")), _text(F.col("right"))).cast("binary")
         parents = level.filter(F.pmod("nr", F.lit(FAN)) == 0)
@@ -115,22 +121,22 @@ def climb(leaves: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return levels, roots
 
 
-def _paths(levels: list[DataFrame], roots: DataFrame, more: list[str]) -> DataFrame:
-    """Each leaf's way up: tree, nr, path (array of steps) and the columns ``more`` of its tree's root.
+def with_paths(leaves: DataFrame, keep: list[str], levels: list[DataFrame], roots: DataFrame, more: list[str]) -> DataFrame:
+    """Each leaf's way up: tree, nr, digest, ``keep``, path (array of steps) and the columns ``more`` of its tree's root.
 
     ``roots``: tree, height, path (the way on from the root, empty for the topmost tree) and ``more``.
     """
+    # Trees that end on a height have one node there, which no level holds.
     ends = lambda height: roots.filter(F.col("height") == height).select("tree", F.lit(0).cast("long").alias("nr"), "path", *more)
+    here = F.concat(F.array(F.struct("left", "right").cast(STEP)), "path").alias("path")
     found = ends(len(levels))
     for depth in range(len(levels) - 1, -1, -1):
         above = found.withColumnRenamed("nr", "up")
-        here = F.array(F.struct("left", "right").cast(STEP))
         joined = levels[depth].withColumn("up", _up("nr")).join(above, ["tree", "up"])
-        # Trees that end on this height have one node here, which no level holds.
-        found = joined.select("tree", "nr", F.concat(here, "path").alias("path"), *more).unionByName(ends(depth))
         if depth:
-            found = written(found, "paths")
-    return found
+            found = written(joined.select("tree", "nr", here, *more).unionByName(ends(depth)), "paths")
+    alone = leaves.filter("last = 0").join(ends(0), ["tree", "nr"]).select("tree", "nr", "digest", *keep, "path", *more)
+    return joined.select("tree", "nr", "digest", *keep, here, *more).unionByName(alone) if levels else alone
 
 
 def fold(digest: Column, path: Column) -> Column:
@@ -155,22 +161,22 @@ def manifest(df: DataFrame) -> DataFrame:
     lowered = columns | {"text": F.translate("text", UPPER, LOWER)}
     hashes = [leaf_of(list(c.values())) for c in (columns, lowered)]
     hashed = typed.select("doc_id", "source", F.unhex(hashes[0]).alias("leaf"), F.unhex(hashes[1]).alias("tampered_leaf"))
-    leaves = written(_numbered(hashed), "leaves")
-    levels, roots = climb(leaves.select("tree", "nr", "last", F.col("leaf").alias("digest")))
+    leaves = written(_numbered(hashed), "leaves").withColumnRenamed("leaf", "digest")
+    keep = ["doc_id", "source", "tampered_leaf"]
+    levels, roots = climb(leaves, keep)
     subroots = written(roots, "subroots")
     trees = subroots.agg(F.max("tree")).first()[0]  # null for an empty table
     top = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("nr"), F.lit(trees).cast("long").alias("last"), "digest")
-    top_levels, top_root = climb(top)
+    top_levels, top_root = climb(top, [])
     root = top_root.first()
     nothing = F.array().cast(f"array<{STEP}>").alias("path")
-    ways = _paths(top_levels, top_root.select("tree", "height", nothing), [])
+    ways = with_paths(top, [], top_levels, top_root.select("tree", "height", nothing), [])
     ways = ways.select(F.col("nr").alias("tree"), "path")
     subroots = written(subroots.withColumnRenamed("digest", "subroot").join(ways, "tree"), "paths")
-    paths = _paths(levels, subroots, ["subroot"])
-    return leaves.join(paths, ["tree", "nr"]).select(
+    return with_paths(leaves, keep, levels, subroots, ["subroot"]).select(
         "doc_id",
         "source",
-        _text(F.col("leaf")).alias("leaf"),
+        _text(F.col("digest")).alias("leaf"),
         _text(F.col("tampered_leaf")).alias("tampered_leaf"),
         _text(F.col("subroot")).alias("subroot"),
         F.lit(bytes(root["digest"]).hex() if root else None).cast("string").alias("root"),
