@@ -23,6 +23,7 @@ from kassenwerk.functions.labels import (
 )
 from kassenwerk.functions.money import total
 from kassenwerk.operators.filters import Moment, one_of, within
+from kassenwerk.operators.skew import lookup
 from kassenwerk.operators.timeline import following_events
 from kassenwerk.schema import LONG
 from kassenwerk.sources.tables import Tables
@@ -131,7 +132,7 @@ def with_account(tables: Tables, tx: DataFrame) -> DataFrame:
     A space listed several times has one account, the smallest, so that it counts once.
     """
     one = tables.spacereference.groupBy("spaceid").agg(F.min("accountid").alias("accountid"))
-    return tx.join(one, "spaceid", "left")
+    return lookup(tx, one, ["spaceid"])
 
 
 def account_withdrawals(
@@ -187,8 +188,11 @@ def payout_references(
     )
 
 
-def with_brand(tables: Tables, rows: DataFrame) -> DataFrame:
-    """Add ``brand`` and ``connector``; the configuration is unique only per space."""
+def with_brand(tables: Tables, rows: DataFrame, seen_in: DataFrame | None = None) -> DataFrame:
+    """Add ``brand`` and ``connector``; the configuration is unique only per space.
+
+    ``seen_in`` are the rows before they were joined to others, if they were.
+    """
     pcc = tables.paymentconnectorconfiguration.select(
         F.col("id").alias("paymentconnectorconfiguration_id"),
         "spaceid",
@@ -199,7 +203,7 @@ def with_brand(tables: Tables, rows: DataFrame) -> DataFrame:
     # The few connectors meet the configurations, not the rows.
     configured = pcc.join(pc, "connector", "left")
     return (
-        rows.join(configured, ["paymentconnectorconfiguration_id", "spaceid"], "left")
+        lookup(rows, configured, ["paymentconnectorconfiguration_id", "spaceid"], seen_in)
         .withColumn("brand", brand_name(F.col("_names"), F.col("_configured")))
         .drop("_names", "_configured")
     )

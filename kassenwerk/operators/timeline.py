@@ -157,7 +157,8 @@ def pairs_by_whole_days(
     C(v + k days) over the starts. Each distinct start asks ``window_days + 1`` questions.
     """
     scope = list(scope)
-    weighted = starts.groupBy(*scope, at).agg(F.count("*").alias("_weight"))
+    # Asked and weighed again below: one narrow table instead of two runs of what leads to it.
+    weighted = written(starts.groupBy(*scope, at).agg(F.count("*").alias("_weight")), "starts")
     asked = weighted.filter(F.col(at).isNotNull()).withColumn(
         "_k", F.explode(F.sequence(F.lit(0), F.lit(window_days)))
     ).withColumn("_at_k", F.col(at) + F.make_dt_interval("_k"))

@@ -181,7 +181,7 @@ def transaction_export(
         )
         rows = per_transaction(rows, enrich.payout_references(tables, tx, withdrawals))
     if "brand" in sides:
-        rows = enrich.with_brand(tables, rows)
+        rows = enrich.with_brand(tables, rows, tx)
     if "terminal" in sides:
         rows = enrich.with_terminal(tables, rows)
     return _ordered(rows, ordered, "spaceid", "completedon", "id").select(
@@ -204,7 +204,7 @@ def card_search(
         tx = at_terminals(tables, tx, terminals)
     found = enrich.cards(tables, tx, spaces).filter(card_ends_with(F.col("masked_card"), last4))
     rows = tx.join(found.withColumnRenamed("transaction_id", "id"), "id")
-    rows = enrich.with_terminal(tables, enrich.with_brand(tables, rows))
+    rows = enrich.with_terminal(tables, enrich.with_brand(tables, rows, tx))
     return _ordered(rows, ordered, F.desc("completedon"), "id").select(
         F.col("spaceid").alias("space_id"),
         "completedon",
@@ -239,7 +239,7 @@ def settlement_transactions(
     if account is not None:
         tx = tx.filter(F.col("accountid") == account)
     sides = enrich.settlements(tables, tx).withColumnRenamed("transaction_id", "id")
-    rows = enrich.with_terminal(tables, enrich.with_brand(tables, tx.join(sides, "id", "left")))
+    rows = enrich.with_terminal(tables, enrich.with_brand(tables, tx.join(sides, "id", "left"), tx))
     chosen = [
         F.to_date("valuedate").alias("settlement_datum"),
         F.coalesce("settlement_state", F.lit("NO_RECORD")).alias("settlement_state"),
@@ -295,7 +295,7 @@ def settlement_reference_sample(
     )
     card = enrich.cards(tables, tx, spaces).withColumnRenamed("transaction_id", "id")
     rows = tx.join(card, "id", "left").join(settle, "id", "left")
-    rows = enrich.with_terminal(tables, enrich.with_brand(tables, rows))
+    rows = enrich.with_terminal(tables, enrich.with_brand(tables, rows, tx))
     base = [
         "spaceid", "createdon", "completedon", "state", "currency", "gross", "fees", "net",
         "connectorname", "connector", "terminal", "terminalname", "terminalid", "merchantref",

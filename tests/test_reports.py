@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from kassenwerk.operators import enrich
+from kassenwerk.operators import enrich, timeline
 from kassenwerk.plans import reports
 from kassenwerk.schema import TABLES
 from tests.conftest import at, money, plan_of
@@ -291,10 +291,13 @@ def scanned(df, tables):
         ),
     ],
 )
-def test_export_reads_only_the_tables_its_columns_need(spark, shop, tmp_path, columns, needed):
-    tables = on_disk(spark, shop, tmp_path)
+def test_export_reads_only_the_tables_its_columns_need(spark, shop, tmp_path, monkeypatch, columns, needed):
+    tables, read = on_disk(spark, shop, tmp_path), set()
+    # The line of payouts is written while the export is built; what it reads counts as well.
+    written = timeline.written
+    monkeypatch.setattr(timeline, "written", lambda df, label: read.update(scanned(df, tables)) or written(df, label))
     df = reports.transaction_export(tables, [1], *WINDOW, columns=columns)
-    assert scanned(df, tables) == {"transaction"} | needed
+    assert scanned(df, tables) | read == {"transaction"} | needed
 
 
 def test_filters_and_columns_reach_the_scan(spark, shop, tmp_path):
