@@ -120,16 +120,42 @@ def _against(codes: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndar
     return out / (norms[:, None] if table.ndim > 1 else norms)
 
 
-def _triples(words: list[str]) -> np.ndarray:
-    """Explicit normalised features of short words: triples x words."""
+def _entries(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triple, word and normalised weight of every triple of short words; some 200 a word."""
     codes, owner, sizes = _matrix([w[:WIDTH] for w in words])
-    out = np.zeros((LETTERS**3, len(words)))
+    triples, whose, weights = [], [], []
     for j, k, weight in _spans():
         for i in range(WIDTH - k):
             a, b, c = codes[:, i], codes[:, i + j], codes[:, i + k]
             live = (a > 0) & (b > 0) & (c > 0)
-            np.add.at(out, (((a * LETTERS + b) * LETTERS + c)[live], owner[live]), weight)
-    return out / _norms(sizes)
+            triples.append(((a * LETTERS + b) * LETTERS + c)[live])
+            whose.append(owner[live])
+            weights.append(np.full(int(live.sum()), weight))
+    whose = np.concatenate(whose)
+    return np.concatenate(triples), whose, np.concatenate(weights) / _norms(sizes)[whose]
+
+
+def _triples(words: list[str]) -> np.ndarray:
+    """Explicit normalised features of a few short words: triples x words."""
+    out = np.zeros((LETTERS**3, len(words)))
+    triple, word, weight = _entries(words)
+    np.add.at(out, (triple, word), weight)
+    return out
+
+
+def _kernel(words: list[str], block: int = 2048) -> np.ndarray:
+    """Kernel values between all pairs of words, summed over blocks of the triples that occur."""
+    triple, word, weight = _entries(words)
+    occurring, triple = np.unique(triple, return_inverse=True)
+    order = np.argsort(triple, kind="stable")
+    triple, word, weight = triple[order], word[order], weight[order]
+    out = np.zeros((len(words), len(words)))
+    for low in range(0, len(occurring), block):
+        a, b = np.searchsorted(triple, [low, low + block])
+        part = np.zeros((block, len(words)))
+        np.add.at(part, (triple[a:b] - low, word[a:b]), weight[a:b])
+        out += part.T @ part
+    return out
 
 
 class Model:
@@ -190,8 +216,7 @@ def _learn(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 11) ->
     ranked = sorted(odds, key=lambda w: (-odds[w], w))[: 20 * LANDMARKS]
     taken: list[int] = []
     if ranked:
-        found = _triples(ranked)
-        like = found.T @ found
+        like = _kernel(ranked)
         for i in range(len(ranked)):
             if like[i, i] > 0 and all(like[i, j] < 0.8 * math.sqrt(like[i, i] * like[j, j]) for j in taken):
                 taken.append(i)
