@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kassenwerk.llm.texts import let
+from kassenwerk.llm.texts import fresh, let
 
 _SPAN = "struct<kind:string,start:int,end:int,score:double>"
 _FOUND = "array<struct<start:int,end:int,match:string,near:string>>"
@@ -169,7 +169,7 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
 
     Overlapping spans are replaced as one, named after the first. Null texts stay null.
     """
-    body = F.col(text)
+    body, found = F.col(text), fresh(df, "_pii_spans")
 
     def masked(spans: Column) -> Column:
         def add(seen: Column, s: Column) -> Column:
@@ -191,13 +191,13 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
             lambda seen: F.concat(F.array_join(seen["out"], ""), F.substring(body, seen["at"] + 1, F.length(body))),
         )
 
-    strong = F.filter(F.col("__pii_spans"), lambda s: s["score"] >= least)
+    strong = F.filter(F.col(found), lambda s: s["score"] >= least)
     by_start = F.sort_array(
         F.transform(strong, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
     every = F.concat(*[spans_of(body, k) for k in KINDS])
     return (
-        df.withColumn("__pii_spans", every)
-        .withColumn(text, F.when(F.size("__pii_spans") > 0, let(by_start, masked)).otherwise(body))
-        .drop("__pii_spans")
+        df.withColumn(found, every)
+        .withColumn(text, F.when(F.size(found) > 0, let(by_start, masked)).otherwise(body))
+        .drop(found)
     )

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kassenwerk.llm.texts import SPACES, let, words
+from kassenwerk.llm.texts import SPACES, fresh, let, words
 
 SYMBOLS = "#*$%&|<>"
 # Frequent function words of English, German, French and Spanish.
@@ -131,12 +131,9 @@ def metrics(df: DataFrame, text: str = "text") -> DataFrame:
     )
     # Made by a generator of one row: a filter on the verdict would otherwise be pushed below
     # the projection, with a copy of all this for each rule.
-    made = F.struct(of_words.alias("_w"), of_lines.alias("_l"), of_signs.alias("_s"))
-    counted = (
-        df.select("*", F.explode(F.array(made)).alias("_made"))
-        .select(*[F.col(f"`{c}`") for c in df.columns if c not in COUNTS], "_made.*")
-        .select("*", "_w.*", "_l.*", "_s.*")
-        .drop("_w", "_l", "_s")
+    made, name = F.struct(of_words.alias("w"), of_lines.alias("l"), of_signs.alias("s")), fresh(df, "_made")
+    counted = df.select("*", F.explode(F.array(made)).alias(name)).select(
+        *[F.col(f"`{c}`") for c in df.columns if c not in COUNTS], f"{name}.w.*", f"{name}.l.*", f"{name}.s.*"
     )
     share = lambda part, whole: F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
     return counted.withColumns(
