@@ -12,7 +12,7 @@ expected and drawn shares.
 
 Nulls form a source, language or topic of their own. Documents without a word weigh one
 token, so that they can be drawn too. Equal ids get equal draws: repeated rows stay or go
-together. A null id draws as 0. An empty table gives an empty result. Further columns are
+together. Rows without id draw by their text. An empty table gives an empty result. Further columns are
 carried along untouched.
 """
 
@@ -198,7 +198,8 @@ def mix(
     # Read from files of known size: Catalyst broadcasts the cells where they are small.
     rates = written(raked.select(*keys, "_weight", (F.col("_weight") / F.col("_tokens")).alias("_rate")), "rates")
     whole = 1 << 53
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("_id"), F.lit(0).cast("long"))), F.lit(whole))
+    own = F.coalesce(F.col("_id").cast("long"), F.xxhash64(F.col("_row.text")))
+    draw = F.pmod(F.xxhash64(F.lit(seed), own), F.lit(whole))
     results = {
         "mix_topic": F.col("_topic"),
         "mix_tokens": F.col("_tokens"),
