@@ -352,3 +352,22 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_dedup(spark, table, "").collect()
     assert Counter((r.doc_id, r.text, r.source) for r in kept) == Counter([(1, a, "x"), (1, b, "x"), (3, c, "x"), (None, c, "x"), (None, c, "x")])
+
+
+def test_columns_named_like_helpers_stay(spark):
+    """Whatever an input column is called, it comes back as it was."""
+    text = "Write to a@b.ch: " + prose(3, 90)
+    names = ["_made", "_w", "_l", "_s", "w", "_pii_spans", "__pii_spans", "_row", "_text", "PII_SPANS"]
+    table = spark.createDataFrame([(1, text, *names)], ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    judged = quality.judge(table).first()
+    assert [judged[n] for n in names] == names and judged.n_words > 50
+    assert [quality.keep_good(table).first()[n] for n in names] == names
+    clean = pii.redact(table)
+    assert clean.columns == table.columns and [clean.first()[n] for n in names] == names and "<EMAIL>" in clean.first().text
+
+
+def test_rows_without_id_draw_each_for_themselves(spark):
+    rows = [(None, f"w{i} " * 10, "en", s, "p") for i in range(400) for s in ("a", "b")] + [(None, "same " * 10, "en", "a", "p")] * 5
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    kept = Counter(r.kept for r in mixing.mix(table, keep=0.5).collect())
+    assert 0.3 * len(rows) < kept[True] < 0.7 * len(rows)
