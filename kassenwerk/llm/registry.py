@@ -32,7 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return warc.read_pages(spark, path)
+    found = warc.read_pages(spark, path)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

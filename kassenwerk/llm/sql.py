@@ -109,4 +109,42 @@ FROM f{len(steps)} x JOIN s{heights} USING (tree), t{top_heights}
     )
 
 
-ORACLE = {"op11_fim": OP11, "op12_decontamination": OP12, "op13_merkle": _op13()}
+# Five hexadecimal digits are four of base 32.
+_BASE32 = """array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform(range(0, 4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * i + 1, 5))::BIGINT >> (15 - 5 * j)) & 31), 1)), '')), '')"""
+
+OP1 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+told AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+    CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to,
+    CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN true END AS verified
+FROM told
+"""
+
+# Shingles of all pairs of documents that share one: for small tables.
+OP6 = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[k:k + 1], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS k FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+    JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+"""
+
+ORACLE = {
+    "op1_warc": OP1,
+    "op6_neardup": OP6,
+    "op11_fim": OP11,
+    "op12_decontamination": OP12,
+    "op13_merkle": _op13(),
+}
