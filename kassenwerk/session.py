@@ -105,12 +105,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table whose readers are done, before the session ends."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: fixed rows, short lineage.
 
