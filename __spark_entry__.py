@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from kassenwerk.functions import money, text
 from kassenwerk.operators import enrich, history, terminals
 from kassenwerk.operators.filters import report_transactions
+from kassenwerk.operators.numbering import number_within
 from kassenwerk.plans import blocks, checks, reports
 from kassenwerk.plans import settlement_model as settle
 from kassenwerk.plans import terminal_model as terminal
@@ -225,6 +226,19 @@ def _nested_terminals(t: Tables) -> DataFrame:
     return terminal.terminals_with_brands(_terminal_rows(t)).withColumn("brands", F.array_join(F.transform("brands", brand), "; "))
 
 
+def _terminal_order(t: Tables) -> DataFrame:
+    """Every total of the terminal report with its place in it: blocks, currency, then names in German order."""
+    rows = terminal.terminal_group_report(_terminal_rows(t), ordered=False).withColumn("_report", F.lit(1))
+    order = [terminal.level_order(F.col("level")), "waehrung", *[F.collate(c, "de") for c in ("outlet", "brand_group", "name")], "tid", "brand"]
+    return number_within(rows, ["_report"], order, "position").select("level", "waehrung", "outlet", "brand_group", "tid", "brand", "position")
+
+
+def _connector_order(t: Tables) -> DataFrame:
+    """The payment methods of each account by volume, equal ones by name."""
+    rows = settle.connectors(_sums(t), ACCOUNT)
+    return number_within(rows, ACCOUNT, settle.by_volume(), "position").select("account_id", "connector", "position")
+
+
 def _amount_texts(t: Tables) -> DataFrame:
     fee = F.col("completedamount") * F.lit("-0.0095").cast("decimal(5,4)")
     return t.transaction.select(
@@ -331,6 +345,7 @@ def _reference_queries() -> dict[str, Query]:
         ),
         "terminal_group_report_mapped": _on_tables(_mapped_groups),
         "terminal_group_report_nested": _on_tables(_nested_terminals),
+        "terminal_report_order": _on_tables(_terminal_order),
         "merged_outlets": _on_tables(
             lambda t: terminal.merged_outlets(_terminal_rows(t), _saved_outlets(t))
         ),
@@ -360,6 +375,7 @@ def _reference_queries() -> dict[str, Query]:
         ),
         "settlement_kpis": _on_tables(_kpis),
         "settlement_connectors": _on_tables(lambda t: settle.connectors(_sums(t), ACCOUNT)),
+        "settlement_connector_order": _on_tables(_connector_order),
         "settlement_connector_total": _on_tables(
             lambda t: settle.totals(settle.connectors(_sums(t), ACCOUNT), ACCOUNT)
         ),

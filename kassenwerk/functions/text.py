@@ -13,17 +13,23 @@ LUNCH_CHECK_BRAND = "Lunch Check"
 LUNCH_CHECK_GROUP = "Lunch-Check"
 DEFAULT_BRAND_GROUP = "Default"
 LABEL_SEPARATOR = " · "
+# What counts as white space around a name.
+WHITE_SPACE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(trimmed(text), F.lit(""))
 
 
 def outlet_group(terminal_name: Column) -> Column:
     """Terminal name without its trailing number; an all-digit name stays as it is."""
-    name = F.trim(terminal_name)
+    name = trimmed(terminal_name)
     return F.coalesce(
-        blank_to_null(F.regexp_replace(name, r"\s*\d+$", "")),
+        blank_to_null(F.regexp_replace(name, r"[0-9]+\z", "")),
         blank_to_null(name),
         F.lit(NO_NAME),
     )

@@ -410,6 +410,13 @@ FROM branded b LEFT JOIN card c ON c.transaction_id = b.id LEFT JOIN (
     "terminal_group_report": with_tables("SELECT * FROM groups", **GROUPS),
     "terminal_csv_roundtrip": with_tables("SELECT * FROM groups", **GROUPS),
     "terminal_group_report_nested": with_tables(NESTED, **GROUPS),
+    "terminal_report_order": with_tables(
+        """SELECT level, waehrung, outlet, brand_group, tid, brand, row_number() OVER (ORDER BY
+       CASE level WHEN 'outlet' THEN 1 WHEN 'brand_group' THEN 2 WHEN 'grand_total' THEN 3 ELSE 4 END, waehrung,
+       outlet NULLS FIRST, brand_group NULLS FIRST, name NULLS FIRST, tid NULLS FIRST, brand NULLS FIRST) AS position FROM groups""", **GROUPS),
+    "settlement_connector_order": with_tables(
+        """SELECT account_id, connector, row_number() OVER (PARTITION BY account_id ORDER BY brutto DESC, connector) AS position
+FROM connectors""", **MODEL),
     "terminal_csv_defaults": with_tables(
         """SELECT terminal_identifier, terminal_name, brand, 'CHF' AS waehrung, CAST(0 AS BIGINT) AS anzahl_transaktionen,
        unsettled_anzahl, brutto_gross, tip_total FROM terminal_rows""", **SIDES, terminal_rows=TERMINAL_ROWS),

@@ -90,6 +90,7 @@ def test_whole_days_count_24_hours_not_midnights(spark, start, end, count):
     [
         ("Kiosk 12", "Kiosk"), ("Foyer West  3", "Foyer West"), ("Saal", "Saal"), ("Raum 4 Nord", "Raum 4 Nord"),
         ("7", "7"), ("   ", "–"), (None, "–"),
+        ("\tBar 3\t", "Bar"), ("\u00a0Lager\u00a012 \r\n", "Lager"), ("Ab\n7", "Ab"), ("\u3000", "–"), (" 12\t", "12"),
     ],
 )
 def test_outlet_group(spark, name, group):
