@@ -57,7 +57,7 @@ def forward_table(docs: DataFrame) -> DataFrame:
 class Phrases:
     """The benchmark as distinct word sequences with their terms.
 
-    ``table``: phrase, n_words, block. ``terms``: phrase, k, first, second, term, block. ``items``: phrase, item_id.
+    ``terms``: phrase, n_words, k, first, second, term, block. ``items``: phrase, item_id.
     """
 
     def __init__(self, benchmark: DataFrame, size: int = SIZE, segment: int = SEGMENT, block_terms: int = BLOCK_TERMS):
