@@ -85,7 +85,8 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     if multi_line and csv_records.has_broken_lines(spark, path):
         return _split_rows(spark, path, names)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
-    whole_lines = reader.option("multiLine", False).schema(schema)
+    # With pruned columns a row would only be as wide as what is asked for, and none malformed.
+    whole_lines = reader.option("multiLine", False).option("columnPruning", False).schema(schema)
     return whole_lines.option("columnNameOfCorruptRecord", MALFORMED).csv(path)
 
 
