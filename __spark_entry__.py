@@ -204,7 +204,8 @@ def _unassigned_spaces(t: Tables) -> DataFrame:
 def _stored_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export over tables stored by month and bucketed by transaction."""
     database = f"stored_{uuid.uuid4().hex}"
-    stored = layout.write_tables(derived_tables(spark, sf_dir), database, scratch_path(spark, "stored"), 4, layout.MONTH)
+    tables = derived_tables(spark, sf_dir)
+    stored = layout.write_tables(tables, database, scratch_path(spark, "stored"), layout.buckets_for(tables, 4), layout.MONTH)
     return reports.transaction_export(stored, *PERIOD, columns=reports.EXPORT_COLUMNS.keys())
 
 

@@ -7,12 +7,14 @@ move no row. Tables that are joined by another id are bucketed by that, which sp
 side of the shuffle. Small tables are stored plainly.
 
 Rows are dealt out by bucket before they are written, so every task writes one file per bucket and
-period it holds.
+period it holds. A bucket is written, and later read, by one task: their number has to come from the rows
+(``buckets_for``), or that task's part would grow with the tables.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,8 @@ from kassenwerk.sources.tables import Tables
 
 DAY, MONTH = PERIOD_COLUMNS
 NOTE = "_layout"
+# Some 50 to 60 bytes each in a shuffle, which makes a bucket about a shuffle partition of the usual size.
+ROWS_PER_BUCKET = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -50,10 +54,22 @@ def _columns(name: str, period: str) -> list[str]:
     return [*TABLES[name].names, *([period] if STORED.get(name, Stored()).time else [])]
 
 
+def buckets_for(tables: Tables, minimum: int = 8) -> int:
+    """Number of buckets under which none of the largest table holds much more than ``ROWS_PER_BUCKET`` rows.
+
+    The rows are counted, one scan without columns a table: Spark's estimate of bytes knows neither
+    what a filter drops nor how long a text is. Spark's own limit of buckets holds.
+    """
+    spark = tables.transaction.sparkSession
+    most = max(tables[name].count() for name, how in STORED.items() if how.bucket)
+    limit = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(limit, max(minimum, math.ceil(most / ROWS_PER_BUCKET)))
+
+
 def write_tables(tables: Tables, database: str, root: str, buckets: int, period: str = DAY) -> Tables:
     """Store all tables below ``root`` and name them in ``database``; the stored tables are returned.
 
-    ``buckets`` should make a bucket of a period's largest table about the size of a file to be read by one task.
+    ``buckets`` should make a bucket of the largest table what one task can read, see ``buckets_for``.
     """
     if period not in PERIOD_COLUMNS:
         raise ValueError(f"period must be one of {', '.join(PERIOD_COLUMNS)}")

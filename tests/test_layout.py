@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registered
 from kassenwerk.operators import enrich
 from kassenwerk.operators.filters import report_transactions, within
 from kassenwerk.plans import checks, reports
@@ -101,6 +102,26 @@ def test_the_export_moves_no_fact_table_by_its_transaction(stored, no_broadcast)
             assert "Bucketed: true" in line and f"{BUCKETS} out of {BUCKETS}" in line
 
 
+def test_buckets_grow_with_the_rows(tables, monkeypatch):
+    """The largest table decides; a few rows still get the least number."""
+    most = max(tables[n].count() for n, how in layout.STORED.items() if how.bucket)
+    assert layout.buckets_for(tables, 4) == 4
+    monkeypatch.setattr(layout, "ROWS_PER_BUCKET", most // 10)
+    assert 10 <= layout.buckets_for(tables, 4) <= 11
+    monkeypatch.setattr(layout, "ROWS_PER_BUCKET", most // 20)
+    assert 20 <= layout.buckets_for(tables, 4) <= 21
+
+
+def test_the_stored_export_takes_its_buckets_from_the_rows(spark, tables, monkeypatch):
+    most = max(tables[n].count() for n, how in layout.STORED.items() if how.bucket)
+    monkeypatch.setattr(layout, "ROWS_PER_BUCKET", most // 6)
+    asked, write = [], layout.write_tables
+    monkeypatch.setattr(layout, "write_tables", lambda t, d, root, buckets, period: asked.append(buckets) or write(t, d, root, buckets, period))
+    plain = reports.transaction_export(tables, *registered.PERIOD, columns=reports.EXPORT_COLUMNS.keys())
+    assert rows(registered.queries()["transaction_export_stored"](spark, SF_DIR)) == rows(plain) != []
+    assert 6 <= asked[0] <= 7
+
+
 def test_unknown_periods_are_refused(tables, tmp_path):
     with pytest.raises(ValueError, match="period"):
         layout.write_tables(tables, "kw_never", str(tmp_path), 2, "_week")
