@@ -4,8 +4,12 @@ Every side is restricted to the report's transactions (``tx`` needs an ``id`` co
 semi-join. Where the aggregate is on the transaction id itself the semi-join is written
 above it: Catalyst moves it down to the scan if the id list fits a broadcast, and otherwise
 both share one shuffle that carries partial results only, however many rows one
-transaction has. Bank rows are restricted first instead, because the join on the bank
+transaction has. ``bank_rows`` are restricted first instead, because the join on the bank
 transaction has to move them a second time.
+
+Ids of bank transactions and line items are texts and make up most of what is shuffled. Tips and value dates
+meet them before they are restricted, so that a text is moved once and not once for each join; only
+tables that are bucketed by transaction are restricted first, for there it moves nothing.
 """
 
 from __future__ import annotations
@@ -42,14 +46,15 @@ def tips(tables: Tables, tx: DataFrame, spaces: Sequence[int] | None = None) ->
     if spaces is not None:
         bridge = bridge.filter(one_of(F.col("spaceid"), spaces))
         items = items.filter(one_of(F.col("spaceid"), spaces))
-    # The bridge of all history is cut to the report before it meets the line items.
-    bridge = of_report(bridge, tx)
+    if tables.by_transaction:
+        bridge = of_report(bridge, tx)
     items = items.select(F.col("id").alias("lineitems_id"), "spaceid", "amountincludingtax")
-    return (
+    summed = (
         bridge.join(items, ["lineitems_id", "spaceid"])
         .groupBy("transaction_id")
         .agg(total(F.col("amountincludingtax")).alias("tip_amount"))
     )
+    return summed if tables.by_transaction else of_report(summed, tx)
 
 
 def record_counts(tables: Tables, tx: DataFrame) -> DataFrame:
@@ -72,6 +77,22 @@ def bank_rows(tables: Tables, tx: DataFrame) -> DataFrame:
     return of_report(tables.payfacsettlementrecord, tx).join(bank, "banktransaction_id")
 
 
+def value_dates(tables: Tables, tx: DataFrame) -> DataFrame:
+    """States and value dates of the report's bank transactions, each once per transaction."""
+    records = tables.payfacsettlementrecord
+    if tables.by_transaction:
+        records = of_report(records, tx)
+    bank = tables.banktransaction.select(F.col("id").alias("banktransaction_id"), "state", "valuedate")
+    # Dealt out by transaction, which serves both the aggregate and the semi-join.
+    dated = (
+        records.join(bank, "banktransaction_id")
+        .select("transaction_id", "state", "valuedate")
+        .repartition("transaction_id")
+        .distinct()
+    )
+    return dated if tables.by_transaction else of_report(dated, tx)
+
+
 def settlement_state(state: Column) -> Column:
     """PARTIAL / SETTLED / UPCOMING over all bank rows of a transaction.
 
@@ -103,11 +124,18 @@ def settlements(tables: Tables, tx: DataFrame) -> DataFrame:
     )
 
 
+def settlement_dates(dates: DataFrame) -> DataFrame:
+    """State and latest value date per transaction, from its ``value_dates``."""
+    return dates.groupBy("transaction_id").agg(
+        settlement_state(F.col("state")).alias("settlement_state"), F.max("valuedate").alias("valuedate")
+    )
+
+
 def cards(tables: Tables, tx: DataFrame, spaces: Sequence[int] | None = None) -> DataFrame:
     """Masked card and authorisation code of the latest charge attempt.
 
-    The latest attempt is found on ids alone, so that the aggregate can hash; labels are
-    taken from the attempts found only.
+    The latest attempt is found on ids alone, so that the aggregate can hash. The two texts are
+    taken out of the labels before the join: they are a small part of what it would have to move.
     """
     attempts = tables.chargeattempt
     if spaces is not None:
@@ -119,11 +147,12 @@ def cards(tables: Tables, tx: DataFrame, spaces: Sequence[int] | None = None) ->
         .groupBy("transaction_id")
         .agg(F.max("attempt_id").alias("attempt_id"))
     )
-    return latest.join(attempts.select("attempt_id", "labels"), "attempt_id").select(
-        "transaction_id",
+    texts = attempts.select(
+        "attempt_id",
         label_text(F.col("labels"), MASKED_CARD_LABEL).alias("masked_card"),
         label_text(F.col("labels"), AUTH_CODE_LABEL).alias("auth_code"),
     )
+    return latest.join(texts, "attempt_id").select("transaction_id", "masked_card", "auth_code")
 
 
 def with_account(tables: Tables, tx: DataFrame) -> DataFrame:
@@ -155,21 +184,20 @@ def payout_references(
     tx: DataFrame,
     withdrawals: DataFrame,
     within_days: int | None = PAYOUT_WINDOW_DAYS,
+    dates: DataFrame | None = None,
 ) -> DataFrame:
     """Per transaction the earliest withdrawal that follows one of its settled bank rows.
 
-    ``within_days=None`` leaves the search open-ended.
+    ``within_days=None`` leaves the search open-ended; ``dates`` are the report's ``value_dates``, if they are known.
     """
-    bank = (
-        tables.banktransaction.filter("state = 'SETTLED' AND valuedate IS NOT NULL")
-        .select(F.col("id").alias("banktransaction_id"), "valuedate")
-    )
+    if dates is None:
+        dates = value_dates(tables, tx)
     accounts = with_account(tables, tx.select("id", "spaceid")).select(
         F.col("id").alias("transaction_id"), F.col("accountid").cast(LONG).alias("accountid")
     )
     settled = (
-        tables.payfacsettlementrecord.join(accounts, "transaction_id")
-        .join(bank, "banktransaction_id")
+        dates.filter("state = 'SETTLED' AND valuedate IS NOT NULL")
+        .join(accounts, "transaction_id")
         .select("transaction_id", "accountid", "valuedate")
     )
     following = following_events(

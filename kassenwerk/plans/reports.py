@@ -18,6 +18,7 @@ from kassenwerk.operators.filters import (
 )
 from kassenwerk.operators.timeline import following_events
 from kassenwerk.schema import MONEY, TOTAL
+from kassenwerk.session import written
 from kassenwerk.sources.tables import Tables
 
 
@@ -173,13 +174,18 @@ def transaction_export(
         rows = per_transaction(rows, enrich.tips(tables, tx, spaces))
     if "card" in sides:
         rows = per_transaction(rows, enrich.cards(tables, tx, spaces))
+    if sides & {"settle", "payout"}:
+        dates = enrich.value_dates(tables, tx)
+        if {"settle", "payout"} <= sides and not tables.by_transaction:
+            # Small without the bank's ids, so both sides read it instead of joining records and bank twice.
+            dates = written(dates, "value-dates")
     if "settle" in sides:
-        rows = per_transaction(rows, enrich.settlements(tables, tx).drop("processing_fees"))
+        rows = per_transaction(rows, enrich.settlement_dates(dates))
     if "payout" in sides:
         withdrawals = enrich.account_withdrawals(
             tables, spaces, start, end, enrich.PAYOUT_WINDOW_DAYS
         )
-        rows = per_transaction(rows, enrich.payout_references(tables, tx, withdrawals))
+        rows = per_transaction(rows, enrich.payout_references(tables, tx, withdrawals, dates=dates))
     if "brand" in sides:
         rows = enrich.with_brand(tables, rows, tx)
     if "terminal" in sides:

@@ -54,6 +54,12 @@ def _columns(name: str, period: str) -> list[str]:
     return [*TABLES[name].names, *([period] if STORED.get(name, Stored()).time else [])]
 
 
+def _stored(spark: SparkSession, database: str) -> Tables:
+    tables = Tables.from_catalog(spark, database)
+    tables.by_transaction = True
+    return tables
+
+
 def buckets_for(tables: Tables, minimum: int = 8) -> int:
     """Number of buckets under which none of the largest table holds much more than ``ROWS_PER_BUCKET`` rows.
 
@@ -91,7 +97,7 @@ def write_tables(tables: Tables, database: str, root: str, buckets: int, period:
         writer.saveAsTable(f"`{database}`.`{name}`")
     note = json.dumps({"buckets": buckets, "period": period})
     spark.createDataFrame([(note,)], "value string").coalesce(1).write.text(f"{root}/{NOTE}")
-    return Tables.from_catalog(spark, database)
+    return _stored(spark, database)
 
 
 def open_tables(spark: SparkSession, database: str, root: str) -> Tables:
@@ -112,7 +118,7 @@ def open_tables(spark: SparkSession, database: str, root: str) -> Tables:
         spark.sql(" ".join([*parts, f"LOCATION '{root}/{name}'"]))
         if how.time:
             spark.sql(f"ALTER TABLE `{database}`.`{name}` RECOVER PARTITIONS")
-    return Tables.from_catalog(spark, database)
+    return _stored(spark, database)
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -26,6 +26,9 @@ class Tables:
     transaction_lineitem: DataFrame
     lineitem: DataFrame
 
+    # Whether the fact tables are bucketed by their transaction, so that a cut to a report's transactions moves no row.
+    by_transaction = False
+
     def __init__(self, openers: Mapping[str, Callable[[], DataFrame]]) -> None:
         if openers.keys() != TABLES.keys():
             raise ValueError(f"tables must be exactly {', '.join(TABLES)}")

@@ -1,5 +1,6 @@
 """Report queries on small tables with several records, attempts and line items per sale."""
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -316,3 +317,60 @@ def test_a_small_report_is_pushed_down_to_the_settlement_scan(spark, shop, tmp_p
     tx = tables.transaction.filter("spaceid = 1")
     plan = enrich.has_record(tables, tx)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+# --- What is shuffled --------------------------------------------------------
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def moved_by(plan):
+    """First key of every shuffle by keys."""
+    return sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan))
+
+
+def test_the_export_moves_the_texts_of_bank_ids_once(spark, shop, tmp_path, no_broadcast, monkeypatch):
+    """Once with the records and once with the bank rows, over all jobs of the export."""
+    tables, plans, write = on_disk(spark, shop, tmp_path), [], timeline.written
+    for module in (timeline, reports):
+        monkeypatch.setattr(module, "written", lambda df, label: plans.append(plan_of(df)) or write(df, label), raising=False)
+    df = reports.transaction_export(tables, [1, 2], *WINDOW, columns=reports.EXPORT_COLUMNS.keys())
+    plans.append(plan_of(df))
+    assert [key for plan in plans for key in moved_by(plan)].count("banktransaction_id") == 2
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = reports.transaction_export(tables, [1, 2], *WINDOW, columns=reports.EXPORT_COLUMNS.keys())
+    assert sorted(map(repr, df.collect())) == sorted(map(repr, plain.collect())) != []
+
+
+def test_value_dates_are_dealt_out_once(spark, shop, tmp_path, no_broadcast):
+    tables = on_disk(spark, shop, tmp_path)
+    dates = enrich.value_dates(tables, tables.transaction.filter("spaceid = 1"))
+    assert moved_by(plan_of(dates)) == ["banktransaction_id"] * 2 + ["transaction_id"] * 2
+    assert sorted((r.transaction_id, r.state) for r in dates.collect()) == [
+        (1, "SETTLED"), (1, "UPCOMING"), (3, "SETTLED"), (9, "UPCOMING"),
+    ]
+
+
+def test_tips_move_the_texts_of_line_items_once(spark, shop, tmp_path, no_broadcast):
+    """By transaction only sums are moved, and the report's ids."""
+    tables = on_disk(spark, shop, tmp_path)
+    tips = enrich.tips(tables, tables.transaction.filter("spaceid = 1"), [1])
+    assert moved_by(plan_of(tips)) == ["lineitems_id"] * 2 + ["transaction_id"] * 2
+    assert [tuple(r) for r in tips.collect()] == [(1, 10)]
+
+
+def test_cards_move_two_texts_instead_of_all_labels(spark, shop, tmp_path, no_broadcast):
+    tables = on_disk(spark, shop, tmp_path)
+    plan = plan_of(enrich.cards(tables, tables.transaction.filter("spaceid = 1"))).splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    taken = [i for i, line in enumerate(plan) if "Project" in line and "filter(labels" in line]
+    assert taken
+    for i in taken:
+        assert any("Exchange hashpartitioning" in line and depth(line) < depth(plan[i]) for line in plan[:i])
+    found = enrich.cards(tables, tables.transaction.filter("spaceid = 1")).collect()
+    assert sorted(map(tuple, found)) == [(1, "XXXX-7873", "A2"), (2, None, None)]
