@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kassenwerk.session import estimated_bytes, written
+
 # A key is heavy if it holds more than one in HEAVY_SHARE rows, so there are fewer than that many.
 HEAVY_SHARE = 200
 TRACKED = 16 * HEAVY_SHARE
@@ -26,8 +28,7 @@ SALTS = 1 << 16
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark's own estimate of the table's size is within its broadcast limit."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return limit > 0 and int(str(size)) <= limit
+    return limit > 0 and estimated_bytes(df) <= limit
 
 
 def _token(keys: Sequence[str]) -> Column:
@@ -48,7 +49,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], seen_in: Data
     """``rows`` left joined with ``table``, which has one row per key.
 
     ``seen_in`` has the same keys as ``rows`` about as often, and is cheaper to count (rows before
-    they were joined to other tables).
+    they were joined to other tables). Its heavy keys are then sought at once and their few rows written, so that
+    the join's plan reads ``rows`` only.
     """
     keys = list(keys)
     if fits_broadcast(table):
@@ -56,6 +58,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], seen_in: Data
     more = [c for c in table.columns if c not in keys]
     found = table.select(_token(keys).alias("_token"), F.struct(*more).alias("_found")).filter("_token IS NOT NULL")
     heavy = heavy_keys(rows if seen_in is None else seen_in, keys, share).join(found, "_token", "left").withColumn("_heavy", F.lit(True))
+    if seen_in is not None:
+        heavy = written(heavy, "heavy")
     marked = rows.withColumn("_token", _token(keys)).join(F.broadcast(heavy), "_token", "left")
     apart = F.col("_heavy").isNotNull() | F.col("_token").isNull()
     # All columns take part in the salt, so that rows of one key differ by it. No token holds its sign.

@@ -156,7 +156,12 @@ def transaction_export(
     columns: Collection[str] = DEFAULT_COLUMNS,
     ordered: bool = True,
 ) -> DataFrame:
-    """One row per transaction with the chosen columns and only the joins they need."""
+    """One row per transaction with the chosen columns and only the joins they need.
+
+    A job keeps the shuffles of all its steps on disk until it ends. An ordered export is computed whole before its first
+    row is known, so over stored tables every side, and the rows before they are sorted, are a job of their own that
+    leaves narrow rows and no shuffle.
+    """
     unknown = sorted(set(columns) - EXPORT_COLUMNS.keys())
     if unknown:
         raise ValueError(f"unknown export columns: {', '.join(unknown)}")
@@ -169,28 +174,33 @@ def transaction_export(
     def per_transaction(rows: DataFrame, side: DataFrame) -> DataFrame:
         return rows.join(side.withColumnRenamed("transaction_id", "id"), "id", "left")
 
+    staged = ordered and tables.by_transaction
+
+    def apart(part: DataFrame, label: str) -> DataFrame:
+        return written(part, label) if staged else part
+
     rows = tx
     if "tip" in sides:
-        rows = per_transaction(rows, enrich.tips(tables, tx, spaces))
+        rows = per_transaction(rows, apart(enrich.tips(tables, tx, spaces), "tips"))
     if "card" in sides:
-        rows = per_transaction(rows, enrich.cards(tables, tx, spaces))
+        rows = per_transaction(rows, apart(enrich.cards(tables, tx, spaces), "cards"))
     if sides & {"settle", "payout"}:
         dates = enrich.value_dates(tables, tx)
-        if {"settle", "payout"} <= sides and not tables.by_transaction:
+        if {"settle", "payout"} <= sides and (staged or not tables.by_transaction):
             # Small without the bank's ids, so both sides read it instead of joining records and bank twice.
             dates = written(dates, "value-dates")
     if "settle" in sides:
-        rows = per_transaction(rows, enrich.settlement_dates(dates))
+        rows = per_transaction(rows, apart(enrich.settlement_dates(dates), "settlements"))
     if "payout" in sides:
         withdrawals = enrich.account_withdrawals(
             tables, spaces, start, end, enrich.PAYOUT_WINDOW_DAYS
         )
-        rows = per_transaction(rows, enrich.payout_references(tables, tx, withdrawals, dates=dates))
+        rows = per_transaction(rows, apart(enrich.payout_references(tables, tx, withdrawals, dates=dates), "payouts"))
     if "brand" in sides:
         rows = enrich.with_brand(tables, rows, tx)
     if "terminal" in sides:
         rows = enrich.with_terminal(tables, rows)
-    return _ordered(rows, ordered, "spaceid", "completedon", "id").select(
+    return _ordered(apart(rows, "export"), ordered, "spaceid", "completedon", "id").select(
         *[column.value().alias(column.alias) for column in chosen]
     )
 

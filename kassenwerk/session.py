@@ -6,6 +6,8 @@ import io
 import math
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,13 +107,37 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a table's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs run in here leave no shuffle files behind.
+
+    Otherwise those stay until the driver happens to collect its garbage, and a job of many steps needs the
+    disk for the shuffles of all of them. For writes, whose rows are read from what they wrote.
+    """
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: fixed rows, short lineage.
+    """Write ``df`` to the shared folder and read it back: fixed rows, short lineage, no shuffle files left.
 
     Parquet rather than an RDD checkpoint, so later passes read only their columns.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with dropping_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

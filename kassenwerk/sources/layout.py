@@ -8,7 +8,10 @@ side of the shuffle. Small tables are stored plainly.
 
 Rows are dealt out by bucket before they are written, so every task writes one file per bucket and
 period it holds. A bucket is written, and later read, by one task: their number has to come from the rows
-(``buckets_for``), or that task's part would grow with the tables.
+(``buckets_for``), or that task's part would grow with the tables. What dealt a table out is dropped
+once the table is stored, so that the disk holds the stored tables and one table's shuffle, and the largest
+shuffle comes while least is stored. Files are packed densely: most of them are long ids in order, of which delta
+encoding keeps what differs.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ from pyspark.sql import functions as F
 
 from kassenwerk.functions.dates import PERIOD_COLUMNS
 from kassenwerk.schema import TABLES
+from kassenwerk.session import dropping_shuffles, estimated_bytes
 from kassenwerk.sources.tables import Tables
 
 DAY, MONTH = PERIOD_COLUMNS
 NOTE = "_layout"
 # Some 50 to 60 bytes each in a shuffle, which makes a bucket about a shuffle partition of the usual size.
 ROWS_PER_BUCKET = 2_000_000
+PACKED = {"compression": "zstd", "parquet.writer.version": "v2"}
 
 
 @dataclass(frozen=True)
@@ -72,6 +77,10 @@ def buckets_for(tables: Tables, minimum: int = 8) -> int:
     return min(limit, max(minimum, math.ceil(most / ROWS_PER_BUCKET)))
 
 
+def _largest_first(tables: Tables) -> list[str]:
+    return sorted(TABLES, key=lambda name: estimated_bytes(tables[name]), reverse=True)
+
+
 def write_tables(tables: Tables, database: str, root: str, buckets: int, period: str = DAY) -> Tables:
     """Store all tables below ``root`` and name them in ``database``; the stored tables are returned.
 
@@ -81,7 +90,7 @@ def write_tables(tables: Tables, database: str, root: str, buckets: int, period:
         raise ValueError(f"period must be one of {', '.join(PERIOD_COLUMNS)}")
     spark = tables.transaction.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    for name in TABLES:
+    for name in _largest_first(tables):
         df, how = tables[name].select(*TABLES[name].names), STORED.get(name, Stored())
         if how.time:
             df = df.withColumn(period, F.to_date(F.date_trunc(PERIOD_COLUMNS[period], how.time)))
@@ -89,12 +98,13 @@ def write_tables(tables: Tables, database: str, root: str, buckets: int, period:
             df = df.repartition(buckets, *how.bucket)
         elif how.time:
             df = df.repartition(period)
-        writer = df.write.format("parquet").option("path", f"{root}/{name}")
+        writer = df.write.format("parquet").options(**PACKED).option("path", f"{root}/{name}")
         if how.time:
             writer = writer.partitionBy(period)
         if how.bucket:
             writer = writer.bucketBy(buckets, *how.bucket).sortBy(*how.bucket)
-        writer.saveAsTable(f"`{database}`.`{name}`")
+        with dropping_shuffles(spark):
+            writer.saveAsTable(f"`{database}`.`{name}`")
     note = json.dumps({"buckets": buckets, "period": period})
     spark.createDataFrame([(note,)], "value string").coalesce(1).write.text(f"{root}/{NOTE}")
     return _stored(spark, database)

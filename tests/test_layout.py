@@ -1,8 +1,10 @@
 """Tables stored by period and transaction: same results, pruned folders, joins without a shuffle."""
 
 import re
+import time
 import uuid
 
+import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ from kassenwerk.operators import enrich
 from kassenwerk.operators.filters import report_transactions, within
 from kassenwerk.plans import checks, reports
 from kassenwerk.schema import TABLES
+from kassenwerk.session import dropping_shuffles, estimated_bytes, written
 from kassenwerk.sources import layout
 from kassenwerk.sources.derived import SPACES, derived_tables
-from tests.conftest import plan_of
+from tests.conftest import at, money, plan_of
 
 SF_DIR = "/root/testdata/sf0.001"
 PERIOD = (list(range(SPACES)), "1996-02-10 00:00:00", "1996-04-01 00:00:00")
@@ -122,6 +125,94 @@ def test_the_stored_export_takes_its_buckets_from_the_rows(spark, tables, monkey
     assert 6 <= asked[0] <= 7
 
 
+# --- Disk --------------------------------------------------------------------
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in files.mkString("\n").split("\n") if "shuffle_" in name}
+
+
+def left_behind(spark, before):
+    """New shuffle files; they are removed in the background."""
+    for _ in range(50):
+        if not (new := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return new
+
+
+@pytest.fixture
+def small_tables(make_tables):
+    """Three sales with a tip, card, record and payout each, ids of texts as long as real ones."""
+    nos = range(1, 4)
+    return make_tables(
+        transaction=[
+            {"id": i, "spaceid": 1, "completedon": at(f"1996-02-1{i} 10:00:00"), "state": "FULFILL", "currency": "CHF",
+             "completedamount": money("9.5"), "paymentconnectorconfiguration_id": 4}
+            for i in nos
+        ],
+        charge=[{"id": 10 + i, "transaction_id": i} for i in nos],
+        chargeattempt=[{"id": 20 + i, "charge_id": 10 + i, "spaceid": 1, "labels": []} for i in nos],
+        payfacsettlementrecord=[{"transaction_id": i, "banktransaction_id": f"bank-{i}"} for i in nos],
+        banktransaction=[{"id": f"bank-{i}", "state": "SETTLED", "valuedate": at("1996-02-20 00:00:00")} for i in nos],
+        spacereference=[{"spaceid": 1, "accountid": 5}],
+        currentaccountwithdrawal=[{"internalreference": "W", "createdon": at("1996-02-21 00:00:00"), "accountid": 5}],
+        transaction_lineitem=[{"transaction_id": i, "lineitems_id": f"item-{i}", "spaceid": 1} for i in nos],
+        lineitem=[{"id": f"item-{i}", "spaceid": 1, "type": "TIP", "amountincludingtax": money("0.5")} for i in nos],
+    )
+
+
+@pytest.fixture
+def small_stored(spark, small_tables, tmp_path):
+    database = f"kw_{uuid.uuid4().hex[:8]}"
+    yield layout.write_tables(small_tables, database, str(tmp_path), 2, layout.MONTH)
+    spark.sql(f"DROP DATABASE `{database}` CASCADE")
+
+
+def test_storing_leaves_no_shuffle_and_packs_the_ids(spark, small_tables, tmp_path):
+    before, database = shuffle_files(spark), f"kw_{uuid.uuid4().hex[:8]}"
+    layout.write_tables(small_tables, database, str(tmp_path), 2, layout.MONTH)
+    assert not left_behind(spark, before)
+    for name in ("banktransaction", "lineitem"):
+        files = ds.dataset(f"{tmp_path}/{name}", format="parquet").get_fragments()
+        ids = [f.metadata.row_group(0).column(0) for f in files if f.metadata.num_row_groups]
+        assert ids and all(c.compression == "ZSTD" and "DELTA_BYTE_ARRAY" in c.encodings for c in ids)
+    spark.sql(f"DROP DATABASE `{database}` CASCADE")
+
+
+def test_the_largest_table_is_stored_first(tables):
+    sizes = [estimated_bytes(tables[name]) for name in layout._largest_first(tables)]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) == len(TABLES)
+
+
+def test_an_ordered_export_of_stored_tables_leaves_its_sort_only(spark, small_tables, small_stored, no_broadcast):
+    """The sides and their joins are over and their shuffles gone when the sort begins."""
+    before, columns = shuffle_files(spark), reports.EXPORT_COLUMNS.keys()
+    df = reports.transaction_export(small_stored, *PERIOD, columns=columns)
+    assert not left_behind(spark, before)
+    assert re.findall(r"Exchange (\w+)", plan_of(df)) == ["rangepartitioning"]
+    found, plain = df.collect(), reports.transaction_export(small_tables, *PERIOD, columns=columns).collect()
+    assert found == plain and [r.settlement_reference for r in found] == ["W"] * 3
+    assert [str(r.tip_amount) for r in found] == ["0.50000000"] * 3
+
+
+def test_settings_outlive_a_write(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), dropping_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+        1 / 0
+    assert spark.conf.get(name) == before
+
+
+def test_what_is_written_keeps_its_rows_and_no_shuffle(spark):
+    before, df = shuffle_files(spark), spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    kept = written(df, "counts")
+    assert not left_behind(spark, before)
+    assert rows(kept) == rows(df) and rows(df) == rows(df)
+
+
 def test_unknown_periods_are_refused(tables, tmp_path):
     with pytest.raises(ValueError, match="period"):
         layout.write_tables(tables, "kw_never", str(tmp_path), 2, "_week")
